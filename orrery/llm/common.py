@@ -125,5 +125,19 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(total)
 
 
-def as_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kind.type) for x, kind in zip(columns, schema, strict=True)], schema=schema)
+def summed(rows: DataFrame, column: str, width: int, tasks: int = 16, kind: str = "<i8", merge: np.ufunc = np.add) -> np.ndarray:
+    """Sum (or another merge) of the vectors in a binary column: at most `tasks` vectors come to the driver."""
+    out = np.uint8 if kind == "|u1" else np.int64
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, out)
+        for batch in batches:
+            for x in batch.column(0):
+                merge(total, np.frombuffer(x.as_py(), kind), out=total)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    got = rows.where(f"{column} is not null").select(column).coalesce(tasks).mapInArrow(add, "total binary").collect()
+    total = np.zeros(width, out)
+    for r in got:
+        merge(total, np.frombuffer(r.total, out), out=total)
+    return total

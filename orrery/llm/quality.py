@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_batch, run_hashes, text_slices, word_hashes, word_spans
+from .common import run_hashes, text_slices, word_hashes, word_spans
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = np.zeros(256, bool)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import scratch, staged
+from .common import scratch, staged, summed
 from .tokens import token_ids
 
 SCALE, LANES, STEPS, EVERY = 20, 32, 512, 128
@@ -181,20 +181,6 @@ def tokenized(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, st
     return staged(rows.mapInArrow(coded, f"doc_id {kind}, row long, ids binary, counts binary"), "ids")
 
 
-def summed(rows: DataFrame, column: str, width: int, tasks: int = 16) -> np.ndarray:
-    """Sum of the int64 vectors in a binary column: at most `tasks` vectors come to the driver."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                total += np.frombuffer(x.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
-
-    got = rows.where(F.col(column).isNotNull()).select(column).coalesce(tasks).mapInArrow(add, "total binary").collect()
-    return sum((np.frombuffer(r.total, np.int64) for r in got), np.zeros(width, np.int64))
-
-
 def write_store(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", style: str = "word", end_id: int = 1, vocab: int = 49_408, segment_tokens: int = 4_000_000) -> DataFrame:
     """Writes table.rant and the segment files; the manifest (segment, n_docs, n_tokens) as a staged table."""
     rows = tokenized(docs, tokenizer, id_col=id_col, text_col=text_col, style=style, end_id=end_id, vocab=vocab)
