@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, mixing, ngram_join, packing, quality, sql, suffix_dedup, token_store, topk
+from . import line_dedup, mixing, ngram_join, packing, quality, sql, suffix_dedup, token_store, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, lexicon).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -58,6 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_jaccard": op2_jaccard,
+    "op4_toxicity": op4_toxicity,
     "op5_lines": op5_lines,
     "op6_topk": op6_topk,
     "op7_mix": op7_mix,
