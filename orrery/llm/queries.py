@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, mixing, ngram_join, packing, quality, sql, suffix_dedup, token_store, topk, toxicity
+from . import html_extract, line_dedup, mixing, ngram_join, packing, quality, sql, suffix_dedup, token_store, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
@@ -64,6 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_jaccard": op2_jaccard,
+    "op3_pages": op3_pages,
     "op4_toxicity": op4_toxicity,
     "op5_lines": op5_lines,
     "op6_topk": op6_topk,
