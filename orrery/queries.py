@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -33,11 +34,18 @@ def r6(c: Column | str, n: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
 
+def doubles(sql: str) -> str:
+    """Decimal literals outside quotes as doubles, so both engines compute in the same type."""
+    parts = sql.split("'")
+    parts[::2] = [re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", x) for x in parts[::2]]
+    return "'".join(parts)
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
         if sql:
-            SQL[name] = sql
+            SQL[name] = doubles(sql)
         return f
 
     return add
