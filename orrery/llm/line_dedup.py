@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import staged
+
 LEAD, PARTS = 3, 4
 _FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 _GAP = r"[\x20\x09-\x0D]+"
@@ -25,8 +27,8 @@ _GAP = r"[\x20\x09-\x0D]+"
 
 def line_templates(text: Column, min_tokens: int, field_tokens: int) -> Column:
     """For each line of a text the array of its template keys."""
-    lines = F.split(F.regexp_replace(text, _FIELD, "<*>"), "\n", -1)
-    tokens = F.transform(lines, lambda x: F.filter(F.split(x, _GAP), lambda t: t != ""))
+    masked = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, _FIELD, "<*>")).otherwise(x))
+    tokens = F.transform(masked, lambda x: F.split(F.trim(x, F.lit(" \t\n\x0b\x0c\r")), _GAP))
 
     def leaf(t: Column) -> Column:
         rest = F.greatest(F.size(t) - LEAD, F.lit(0))
@@ -44,7 +46,7 @@ def line_templates(text: Column, min_tokens: int, field_tokens: int) -> Column:
 
 def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_tokens: int = 4, field_tokens: int = 8) -> DataFrame:
     """docs with recurring lines out of text_col, plus n_lines and n_dropped."""
-    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), line_templates(F.col(text_col), min_tokens, field_tokens).alias("_keys"))
+    keyed = staged(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), line_templates(F.col(text_col), min_tokens, field_tokens).alias("_keys")), "templates")
     counted = keyed.select("_id", F.explode(F.array_distinct(F.flatten("_keys"))).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     recurring = counted.where(F.col("_n") >= min_docs).select(F.col("_key"), "_first")
     at = keyed.select("_id", "_t", F.posexplode("_keys").alias("_line", "_lk")).select("_id", "_t", "_line", F.explode("_lk").alias("_key"))
