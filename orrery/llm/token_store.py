@@ -61,8 +61,10 @@ class Coder:
     def encode(self, ids: np.ndarray) -> bytes:
         """The blocks of ids, one after another."""
         n = len(ids)
+        if not n:
+            return b""
         blocks = -(-n // (LANES * STEPS))
-        full = np.full(blocks * LANES * STEPS, ids[-1] if n else 0, np.int64)
+        full = np.full(blocks * LANES * STEPS, int(np.argmax(self.freq)), np.int64)
         full[:n] = ids
         full = full.reshape(blocks, STEPS, LANES)
         x = np.full((blocks, LANES), _LOW, np.uint64)
