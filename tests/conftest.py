@@ -4,7 +4,9 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
+
+from tables import DATA, TABLES, same  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -22,10 +24,6 @@ def spark():
     s.stop()
 
 
-DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
 @pytest.fixture(scope="session")
 def oracle():
     import duckdb
@@ -39,15 +37,3 @@ def oracle():
         return sorted(rel.columns), same(rel.columns, rel.fetchall() if hasattr(rel, "fetchall") else [])
 
     return rows
-
-
-def same(columns, rows):
-    """Rows as comparable text, columns by name; floats to six places."""
-    order = sorted(range(len(columns)), key=lambda i: columns[i])
-
-    def cell(v):
-        if isinstance(v, float):
-            return f"{round(v, 6) + 0.0:.6f}"
-        return repr(v)
-
-    return sorted("|".join(cell(r[i]) for i in order) for r in rows)

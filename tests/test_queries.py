@@ -2,8 +2,7 @@
 
 import pytest
 from orrery import queries as q
-
-from conftest import DATA, same
+from tables import DATA, same
 
 
 @pytest.mark.parametrize("name", sorted(q.SQL))
