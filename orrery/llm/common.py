@@ -125,19 +125,27 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(total)
 
 
-def summed(rows: DataFrame, column: str, width: int, tasks: int = 16, kind: str = "<i8", merge: np.ufunc = np.add) -> np.ndarray:
-    """Sum (or another merge) of the vectors in a binary column: at most `tasks` vectors come to the driver."""
-    out = np.uint8 if kind == "|u1" else np.int64
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, out)
-        for batch in batches:
-            for x in batch.column(0):
-                merge(total, np.frombuffer(x.as_py(), kind), out=total)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
-
-    got = rows.where(f"{column} is not null").select(column).coalesce(tasks).mapInArrow(add, "total binary").collect()
+def summed(rows: DataFrame, column: str, width: int, tasks: int = 4, kind: str = "<i8", merge: np.ufunc = np.add) -> np.ndarray:
+    """Sum (or another merge) of the vectors in a binary column: `tasks` vectors come to the driver.
+
+    Of many partitions the sums are written first, so the last step reads few rows.
+    """
+    out = "|u1" if kind == "|u1" else "<i8"
+
+    def adder(code: str):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(width, out)
+            for batch in batches:
+                for x in batch.column(0):
+                    merge(total, np.frombuffer(x.as_buffer(), code), out=total)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+        return add
+
+    some = rows.where(f"{column} is not null").select(column)
+    if some.rdd.getNumPartitions() > 16 * tasks:
+        some, kind = staged(some.coalesce(16 * tasks).mapInArrow(adder(kind), "total binary"), "sums"), out
     total = np.zeros(width, out)
-    for r in got:
+    for r in some.coalesce(tasks).mapInArrow(adder(kind), "total binary").toLocalIterator():
         merge(total, np.frombuffer(r.total, out), out=total)
     return total

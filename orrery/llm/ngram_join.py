@@ -34,7 +34,7 @@ from .graph import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-CELLS = 1 << 20
+CELLS = 1 << 19
 _U = np.uint64
 
 
@@ -177,7 +177,7 @@ def _filtered(docs: DataFrame, wanted: DataFrame, bits: int = 1 << 24) -> DataFr
         yield pa.RecordBatch.from_arrays([pa.array([field.tobytes()], pa.binary())], ["field"])
 
     key = F.xxhash64("doc_id")
-    fields = wanted.select(key.alias("h")).coalesce(16).mapInArrow(mark, "field binary")
+    fields = wanted.select(key.alias("h")).coalesce(4).mapInArrow(mark, "field binary")
     field = summed(fields, "field", bits // 8, kind="|u1", merge=np.bitwise_or)
 
     def sift(batches):
