@@ -110,7 +110,7 @@ def signatures(hashes: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(sigs), np.concatenate(at), single
 
 
-def _scan(docs: DataFrame, k: int, schema: str, each) -> DataFrame:
+def _scan(docs: DataFrame, schema: str, each) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from each(text_slices(batches, "text"))
 
@@ -118,9 +118,11 @@ def _scan(docs: DataFrame, k: int, schema: str, each) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """Staged (doc_id, sid, n) of every row, and the sketches of the partitions."""
+    """Staged (doc_id, t, sid, n) of every row, and the sketches of the partitions."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    names = ["doc_id", "t", "sid", "n", "sketch"]
+
     def each(slices):
         sketch, key = np.zeros(CELLS, "<i4"), None
         for batch, raw, bounds in slices:
@@ -129,11 +131,11 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             key = batch.schema.field(0).type
             n = np.diff(ends, prepend=0)
             sid = pa.array(set_ids(hashes, ends), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), sid, pa.array(n, pa.int64()), pa.nulls(len(n), pa.binary())], ["doc_id", "sid", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sid, pa.array(n, pa.int64()), pa.nulls(len(n), pa.binary())], names)
         if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, key), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([sketch.tobytes()], pa.binary())], ["doc_id", "sid", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([sketch.tobytes()], pa.binary())], names)
 
-    return staged(_scan(docs, k, f"doc_id {kind}, sid long, n long, sketch binary", each), "sets")
+    return staged(_scan(docs, f"doc_id {kind}, t long, sid long, n long, sketch binary", each), "sets")
 
 
 def _signed(docs: DataFrame, k: int, level: np.ndarray) -> DataFrame:
@@ -158,7 +160,7 @@ def _signed(docs: DataFrame, k: int, level: np.ndarray) -> DataFrame:
                 where = np.concatenate(pos)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sid)), pa.array(np.concatenate(n), pa.int32()), pa.array(np.concatenate(alone), pa.int32()), pa.array(np.concatenate(sig), mask=where < 0), pa.array(where, pa.int32())], ["sid", "n", "alone", "sig", "pos"])
 
-    return staged(_scan(docs, k, "sid long, n int, alone int, sig long, pos int", each), "signed")
+    return staged(_scan(docs, "sid long, n int, alone int, sig long, pos int", each), "signed")
 
 
 def _reaches(a: str, b: str, rem_a: str, rem_b: str) -> str:
@@ -182,19 +184,21 @@ def _filtered(docs: DataFrame, wanted: DataFrame, bits: int = 1 << 24) -> DataFr
 
     def sift(batches):
         for b in batches:
-            h = b.column(2).to_numpy() & (bits - 1)
-            yield b.filter(pa.array((field[h >> 3] >> (h & 7)) & 1 == 1)).select([0, 1])
+            h = b.column(3).to_numpy() & (bits - 1)
+            yield b.filter(pa.array((field[h >> 3] >> (h & 7)) & 1 == 1)).select([0, 1, 2])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", key.alias("h")).mapInArrow(sift, f"doc_id {kind}, text string")
+    return docs.select("doc_id", "t", "text", key.alias("h")).mapInArrow(sift, f"doc_id {kind}, t long, text string")
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Staged pairs (a, b) whose sets have Jaccard 0.8 or more."""
     pairs = staged(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    speak = staged(sets.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(nodes, F.col("sid") == F.col("node"), "left_semi"), "speakers")
-    spoken = _filtered(docs, speak).join(speak, "doc_id").select("sid", "text").dropDuplicates(["sid"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "t")).alias("_f")
+    speak = staged(sets.where("sid is not null").groupBy("sid").agg(first).join(nodes, F.col("sid") == F.col("node"), "left_semi").select("sid", "_f.doc_id", F.col("_f.t").alias("_t")), "speakers")
+    rows = _filtered(docs, speak).withColumnRenamed("doc_id", "_id")
+    spoken = rows.join(speak, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("_t"))).select("sid", "text").dropDuplicates(["sid"])
     right = pairs.join(spoken.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
     both = right.join(spoken.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
@@ -219,10 +223,10 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> Dat
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, small: int = 12) -> DataFrame:
     """doc_id, n_shingles, n_links (verified links of its set), component_id (least id that links reach)."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
     every = _sets(docs, k)
     level = levels(summed(every, "sketch", CELLS, kind="<i4"))
-    sets = every.where("sketch is null").select("doc_id", "sid", "n")
+    sets = every.where("sketch is null").select("doc_id", "t", "sid", "n")
     signed = _signed(docs, k, level)
     rows = signed.where("sig is not null").select("sig", "sid", "n", "pos")
     nodes = signed.where("sig is null").select("sid", "n", "alone").dropDuplicates(["sid"])

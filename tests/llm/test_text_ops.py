@@ -188,3 +188,11 @@ def test_empty_tables(spark):
     assert line_dedup.drop_recurring_lines(none).count() == 0
     assert mixing.mix_sources(none).count() == 0
     assert quality.quality_cascade(none).count() == 0
+
+
+def test_repeated_ids_with_unlike_texts_and_null_ids(spark):
+    base = prose(31, 100)
+    near = base.rsplit(" ", 2)[0] + " changed end"
+    docs = [(1, prose(32, 90)), (1, base), (5, near), (None, prose(33, 80)), (None, prose(33, 80) + " tail"), (9, prose(34, 70))]
+    got = sorted(((r.doc_id, r.n_links, r.component_id) for r in ngram_join.jaccard_components(frame(spark, docs)).collect()), key=repr)
+    assert got == sorted([(1, 0, 1), (1, 1, 1), (5, 1, 1), (None, 1, None), (None, 1, None), (9, 0, 9)], key=repr)
