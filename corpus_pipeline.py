@@ -38,10 +38,29 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays."""
-    found = ngram_join.jaccard_components(docs.select("doc_id", "text"))
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of near copies one row stays, the least by id and text; then long lines of two or more of the rows that stay go.
+
+    The lines come after the copies: a copy that had lost its shared lines before would no longer be like its
+    original, and its other lines would stay. A row that loses all its lines goes.
+    """
+    docs = docs.select(*COLUMNS)
+    found = common.staged(ngram_join.jaccard_components(docs.select("doc_id", "text"), with_first=True).where("first is not null").select("doc_id", "t", "first"), "found")
+    mine = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t"))
+    copies = common.staged(found.where(~mine).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct(), "copies")
+    again = common.staged(found.where(mine).groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).count().where("count > 1").select("_id", "_t"), "again")
+    keyed = line_dedup.line_keys(docs, kinds=("long",)).where("size(flatten(_keys)) > 0").alias("l").join(copies.alias("c"), F.expr("l._id <=> c._id and l._t = c._t"), "left_anti")
+    rows = keyed.select(F.struct(F.col("_id").isNull().alias("no"), F.col("_id").alias("id"), "_t").alias("_id"), "_t", "_keys")
+    repeated = not again.isEmpty()
+    lines = line_dedup.recurring_lines(rows.dropDuplicates(["_id"]) if repeated else rows, {"long": 2}).select(F.col("_id.id").alias("_id"), "_t", "_gone")
+    verdict = copies.select("_id", "_t", F.lit(True).alias("_copy"), F.lit(None).cast("array<int>").alias("_gone")).unionByName(lines.select("_id", "_t", F.lit(False).alias("_copy"), "_gone"))
+    both = docs.withColumn("_rt", F.xxhash64("text")).join(verdict, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_rt") == F.col("_t")), "left").where("_copy is null or not _copy").drop("_id", "_t")
+    split = F.split("text", "\n", -1)
+    kept = both.where(F.col("_gone").isNull() | (F.size("_gone") < F.size(split)))
+    if repeated:
+        marked = common.staged(kept, "kept").join(again.withColumn("_again", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_rt") == F.col("_t")), "left")
+        kept = marked.where("_again is null").unionByName(marked.where("_again").dropDuplicates(["doc_id", "_rt"]))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
+    return _columns(kept.withColumn("text", text))
 
 
 def _first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,10 @@ The tree parses a line by its token count, then by its first LEAD tokens; tokens
 variable fields and read as <*>. Below a leaf, a template is the whole of the other tokens, or, for lines
 of at least `field_tokens` tokens, all but one of PARTS equal runs of them, the run left out being the
 variable field. A template that at least `min_docs` documents hold is recurring; its lines are dropped
-from all documents but the one with the smallest id. Lines of fewer than `min_tokens` tokens stay.
+from all documents but the one with the smallest id. Lines of fewer than `min_tokens` tokens stay, unless
+`short_docs` is given: then their whole template recurs from that many documents on. `long_docs` does so for
+the whole template of lines of at least `field_tokens` words, fields not counted; the keys that leave a run out
+keep `min_docs`. Lines without any word, blank or of fields alone, are in neither. None leaves a kind of key out.
 
 Counting is one aggregation with partial sums in the map tasks, so a line that all documents share is no
 hot key; the way back is a plain equi-join, which adaptive execution can split.
@@ -21,37 +24,64 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import staged
 
 LEAD, PARTS = 3, 4
+#: Kinds of keys: the tree at min_docs, whole short lines, whole long lines.
+KINDS = ("tree", "short", "long")
 _FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 _GAP = r"[\x20\x09-\x0D]+"
 
 
-def line_templates(text: Column, min_tokens: int, field_tokens: int) -> Column:
-    """For each line of a text the array of its template keys."""
+def line_templates(text: Column, min_tokens: int, field_tokens: int, kinds: tuple[str, ...] = ("tree",)) -> Column:
+    """For each line of a text the array of its template keys; of several kinds, a key's two low bits tell which."""
     masked = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, _FIELD, "<*>")).otherwise(x))
     tokens = F.transform(masked, lambda x: F.split(F.trim(x, F.lit(" \t\n\x0b\x0c\r")), _GAP))
 
     def leaf(t: Column) -> Column:
         rest = F.greatest(F.size(t) - LEAD, F.lit(0))
         runs = [F.xxhash64(F.array_join(F.slice(t, F.floor(rest * s / PARTS).cast("int") + LEAD + 1, (F.floor(rest * (s + 1) / PARTS) - F.floor(rest * s / PARTS)).cast("int")), " ")) for s in range(PARTS)]
-        return F.struct(F.size(t).alias("n"), F.xxhash64(F.array_join(F.slice(t, 1, LEAD), " ")).alias("lead"), *(r.alias(f"r{s}") for s, r in enumerate(runs)))
+        words = () if kinds == ("tree",) else (F.size(F.filter(t, lambda x: ~x.isin("<*>", ""))).alias("words"),)
+        return F.struct(F.size(t).alias("n"), F.xxhash64(F.array_join(F.slice(t, 1, LEAD), " ")).alias("lead"), *(r.alias(f"r{s}") for s, r in enumerate(runs)), *words)
 
     def keys(b: Column) -> Column:
         runs = [b[f"r{s}"] for s in range(PARTS)]
-        whole = F.xxhash64(b["n"], b["lead"], F.lit(PARTS), *runs)
-        less = [F.xxhash64(b["n"], b["lead"], F.lit(s), *runs[:s], *runs[s + 1 :]) for s in range(PARTS)]
-        return F.when(b["n"] < min_tokens, F.array().cast("array<bigint>")).when(b["n"] < field_tokens, F.array(whole)).otherwise(F.array(whole, *less))
+        none = F.array().cast("array<bigint>")
+
+        def key(kind: str, part: int) -> Column:
+            hashed = F.xxhash64(b["n"], b["lead"], F.lit(part), *runs[:part], *runs[part + 1 :])
+            return hashed if len(kinds) == 1 else hashed.bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(KINDS.index(kind)))
+
+        found = []
+        if "tree" in kinds:
+            whole, less = key("tree", PARTS), [key("tree", s) for s in range(PARTS)]
+            found.append(F.when(b["n"] < min_tokens, none).when(b["n"] < field_tokens, F.array(whole)).otherwise(F.array(whole, *less)))
+        if "short" in kinds:
+            found.append(F.when((b["n"] < min_tokens) & (b["words"] > 0), F.array(key("short", PARTS))).otherwise(none))
+        if "long" in kinds:
+            found.append(F.when(b["words"] >= field_tokens, F.array(key("long", PARTS))).otherwise(none))
+        return F.concat(*found) if len(found) > 1 else found[0]
 
     return F.transform(F.transform(tokens, leaf), keys)
 
 
-def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_tokens: int = 4, field_tokens: int = 8) -> DataFrame:
-    """docs with recurring lines out of text_col, plus n_lines and n_dropped."""
-    keyed = staged(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), line_templates(F.col(text_col), min_tokens, field_tokens).alias("_keys")), "templates")
+def line_keys(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 4, field_tokens: int = 8, kinds: tuple[str, ...] = ("tree",)) -> DataFrame:
+    """Staged (_id, _t, _keys) of every row: its id, the hash of its text, the template keys of each line."""
+    return staged(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), line_templates(F.col(text_col), min_tokens, field_tokens, kinds).alias("_keys")), "templates")
+
+
+def recurring_lines(keyed: DataFrame, bars: dict[str, int]) -> DataFrame:
+    """(_id, _t, _gone): the numbers of the lines that rows lose to templates of at least bars[kind] documents."""
     counted = keyed.select("_id", F.explode(F.array_distinct(F.flatten("_keys"))).alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    recurring = counted.where(F.col("_n") >= min_docs).select(F.col("_key"), "_first")
+    kind = F.col("_key").bitwiseAND(F.lit(3))
+    bar = F.lit(next(iter(bars.values()))) if len(bars) == 1 else F.coalesce(*(F.when(kind == KINDS.index(k), F.lit(n)) for k, n in bars.items()))
+    recurring = counted.where(F.col("_n") >= bar).select(F.col("_key"), "_first")
     at = keyed.select("_id", "_t", F.posexplode("_keys").alias("_line", "_lk")).select("_id", "_t", "_line", F.explode("_lk").alias("_key"))
     hits = at.join(recurring, "_key").where(F.col("_id").isNull() | (F.col("_first") < F.col("_id")))
-    gone = hits.groupBy("_id", "_t").agg(F.collect_set("_line").alias("_gone"))
+    return hits.groupBy("_id", "_t").agg(F.collect_set("_line").alias("_gone"))
+
+
+def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int | None = 10, min_tokens: int = 4, field_tokens: int = 8, short_docs: int | None = None, long_docs: int | None = None) -> DataFrame:
+    """docs with recurring lines out of text_col, plus n_lines and n_dropped."""
+    bars = {k: n for k, n in zip(KINDS, (min_docs, short_docs, long_docs), strict=True) if n is not None}
+    gone = recurring_lines(line_keys(docs, id_col=id_col, text_col=text_col, min_tokens=min_tokens, field_tokens=field_tokens, kinds=tuple(bars)), bars)
     names = docs.columns
     wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(id_col).alias("_rid"), F.xxhash64(text_col).alias("_rt"))
     both = wide.join(gone, F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rt") == F.col("_t")), "left")

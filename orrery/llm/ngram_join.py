@@ -221,8 +221,12 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> Dat
     return staged(both.mapInArrow(check, "a long, b long"), "links")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, small: int = 12) -> DataFrame:
-    """doc_id, n_shingles, n_links (verified links of its set), component_id (least id that links reach)."""
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, small: int = 12, with_first: bool = False) -> DataFrame:
+    """doc_id, n_shingles, n_links (verified links of its set), component_id (least id that links reach).
+
+    with_first adds t, the hash of the row's text, and first (no, id, t): the least row that links reach, by id,
+    null ids last, then by t; null for sets without words.
+    """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
     every = _sets(docs, k)
     level = levels(summed(every, "sketch", CELLS, kind="<i4"))
@@ -260,10 +264,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     roots = staged(components(all_links), "roots")
 
     degree = all_links.select(F.col("a").alias("s"), F.lit(1).alias("one")).union(all_links.select(F.col("b").alias("s"), F.lit(1))).groupBy("s").agg(F.count("one").alias("links"))
-    own = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
+    row = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "t")
+    own = sets.where("sid is not null").groupBy("sid").agg(F.min(row if with_first else "doc_id").alias("least"))
     rooted = own.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(best, "root").join(degree, F.col("sid") == F.col("s"), "left").select("sid", "component", F.coalesce("links", F.lit(0)).alias("links"))
     named = staged(named.withColumnRenamed("sid", "_s"), "named")
     out = sets.join(named, F.col("sid") == F.col("_s"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component")), F.col("doc_id")).alias("component_id"))
+    least = F.col("component.id") if with_first else F.col("component")
+    first = ("t", F.col("component").alias("first")) if with_first else ()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(least), F.col("doc_id")).alias("component_id"), *first)

@@ -124,6 +124,15 @@ def test_pipeline_stages(spark):
     assert 1 in near and 2 not in near and 3 not in near and {4, 5, 6, 7, 10} <= near
 
 
+def test_passages_of_two_unlike_documents_go(spark):
+    passage = prose(70, 60)
+    near = prose(75, 200)
+    docs = [(1, prose(71, 90) + "\n" + passage), (2, passage + "\n" + prose(72, 90)), (3, near + "\nlast line"), (4, near + "\nother line")]
+    rows = frame(spark, docs).select("doc_id", "text", "lang", "source", "n_chars")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_near_copies(spark, corpus_pipeline.drop_lines(spark, rows, DATA), DATA).collect()}
+    assert got == {i: (t, len(t)) for i, t in ((1, docs[0][1]), (2, prose(72, 90)), (3, docs[2][1]))}
+
+
 def test_mix_repeats_documents(spark):
     rows = frame(spark, [(i, prose(i, 30), "abc"[i % 3]) for i in range(30)]).select("doc_id", "text", "lang", "source", "n_chars")
     from orrery.llm import mixing

@@ -128,6 +128,14 @@ def test_clean_lines_stay(spark):
     assert line_dedup.drop_recurring_lines(frame(spark, docs)).agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def test_long_lines_of_two_documents_go(spark):
+    passage = prose(70, 60)
+    docs = [(1, prose(71, 20) + "\n" + passage), (2, prose(72, 20) + "\n" + passage), (3, "1 2 3 4 5 6 7 8 9 10 11 12"), (4, "13 2 3 4 5 6 7 8 9 10 11 12"), (5, "only five words of it"), (6, "only five words of it")]
+    for rest in ({}, {"min_docs": None}):
+        got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_recurring_lines(frame(spark, docs), long_docs=2, **rest).collect()}
+        assert got == {i: (t, 0) for i, t in docs} | {2: (prose(72, 20), 1)}
+
+
 def test_mix_properties(spark, rows):
     out = mixing.mix_sources(frame(spark, rows)).collect()
     assert len(out) == len(rows)
