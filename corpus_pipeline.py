@@ -32,8 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; a document that loses all its lines goes with them."""
-    kept = line_dedup.drop_recurring_lines(docs.select(*COLUMNS))
+    """Recurring lines go, short ones too; a document that loses all its lines goes with them."""
+    kept = line_dedup.drop_recurring_lines(docs.select(*COLUMNS), short_docs=10)
     return _columns(kept.where("n_dropped = 0 or n_dropped < n_lines"))
 
 

@@ -133,6 +133,14 @@ def test_passages_of_two_unlike_documents_go(spark):
     assert got == {i: (t, len(t)) for i, t in ((1, docs[0][1]), (2, prose(72, 90)), (3, docs[2][1]))}
 
 
+def test_short_lines_of_many_documents_go(spark):
+    docs = [(i, f"All rights reserved.\n{prose(i, 40)}\nPage {i} of 30\n\n{i}\n{'Menu' if i < 9 else 'Home'}") for i in range(18)]
+    rows = frame(spark, docs).select("doc_id", "text", "lang", "source", "n_chars")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, rows, DATA).collect()}
+    want = {i: "\n".join(x for x in t.split("\n") if not (i and x == "All rights reserved.") and not (i and x.startswith("Page"))) for i, t in docs}
+    assert got == want
+
+
 def test_mix_repeats_documents(spark):
     rows = frame(spark, [(i, prose(i, 30), "abc"[i % 3]) for i in range(30)]).select("doc_id", "text", "lang", "source", "n_chars")
     from orrery.llm import mixing
