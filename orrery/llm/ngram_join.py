@@ -15,6 +15,8 @@ Larger buckets give stars: each node with the bucket's most central node. Pairs
 the texts. After the stars' links are components, nodes of large buckets that are in different components
 and pass the filters are paired, verified, and the components are final. So no group of copies is
 expanded into all its pairs, and no pair that could add a link between components is left out.
+Links are counted whole: a pair that shares a small bucket is verified, and nodes of large buckets are counted
+against each other inside their component, block by block, without rows for the pairs.
 
 Nulls: a null or wordless text has an empty set and links with nothing; a null id is ordinary, but no
 component's id unless all are null. Repeated rows are documents each. An empty table gives an empty result.
@@ -191,14 +193,19 @@ def _filtered(docs: DataFrame, wanted: DataFrame, bits: int = 1 << 24) -> DataFr
     return docs.select("doc_id", "t", "text", key.alias("h")).mapInArrow(sift, f"doc_id {kind}, t long, text string")
 
 
+def _spoken(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sid, text): for each node one text that has its set."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "t")).alias("_f")
+    speak = staged(sets.where("sid is not null").groupBy("sid").agg(first).join(nodes, F.col("sid") == F.col("node"), "left_semi").select("sid", "_f.doc_id", F.col("_f.t").alias("_t")), "speakers")
+    rows = _filtered(docs, speak).withColumnRenamed("doc_id", "_id")
+    return rows.join(speak, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("_t"))).select("sid", "text").dropDuplicates(["sid"])
+
+
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Staged pairs (a, b) whose sets have Jaccard 0.8 or more."""
     pairs = staged(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "t")).alias("_f")
-    speak = staged(sets.where("sid is not null").groupBy("sid").agg(first).join(nodes, F.col("sid") == F.col("node"), "left_semi").select("sid", "_f.doc_id", F.col("_f.t").alias("_t")), "speakers")
-    rows = _filtered(docs, speak).withColumnRenamed("doc_id", "_id")
-    spoken = rows.join(speak, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("_t"))).select("sid", "text").dropDuplicates(["sid"])
+    spoken = _spoken(docs, sets, nodes)
     right = pairs.join(spoken.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
     both = right.join(spoken.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
@@ -221,8 +228,61 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> Dat
     return staged(both.mapInArrow(check, "a long, b long"), "links")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, small: int = 12, with_first: bool = False) -> DataFrame:
-    """doc_id, n_shingles, n_links (verified links of its set), component_id (least id that links reach).
+def shared_counts(rows: np.ndarray, hashes: np.ndarray, n: int, m: int) -> np.ndarray:
+    """How many hashes each of sets 0 .. n - 1 shares with each of sets m ..; (row, hash) are all distinct."""
+    width = int(rows.max()) + 1 if len(rows) else n
+    same = np.zeros((n, width - m), np.float32)
+    _, token, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    token = (np.cumsum(count > 1) - 1)[token[keep := count[token] > 1]]
+    rows = rows[keep]
+    order = np.argsort(token, kind="stable")
+    token, rows = token[order], rows[order]
+    step = max(64, (1 << 22) // max(1, width))
+    for lo in range(0, int(token[-1]) + 1 if len(token) else 0, step):
+        i, j = np.searchsorted(token, [lo, lo + step])
+        held = np.zeros((width, step), np.float32)
+        held[rows[i:j], token[i:j] - lo] = 1
+        same += held[:n] @ held[m:].T
+    return same
+
+
+def _links_inside(docs: DataFrame, sets: DataFrame, inside: DataFrame, k: int, block: int) -> DataFrame:
+    """(s, n): rows whose set links with the node's, of inside (sid, n, root, size), within its root.
+
+    A root's nodes fall into blocks of about `block` shingles by their hash; every pair of blocks is one group.
+    """
+    total = inside.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"), F.ceil(F.sum("n") / block).cast("int").alias("blocks")).where("nodes > 1").select(F.col("root").alias("r"), "blocks")
+    dealt = staged(inside.join(total, F.col("root") == F.col("r")).select("sid", "root", "size", "blocks", F.pmod(F.xxhash64("sid", F.lit("block")), F.col("blocks")).cast("int").alias("own")), "dealt")
+    texts = _spoken(docs, sets, dealt.select(F.col("sid").alias("node"))).withColumnRenamed("sid", "_s")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = dealt.join(texts, F.col("sid") == F.col("_s")).select("sid", "root", "size", "own", "text", other.alias("other"))
+    spread = spread.select("sid", "size", "own", "text", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("own", "ascending"), ("sid", "ascending")]).combine_chunks()
+        own, sizes = table["own"].to_numpy(), table["size"].to_numpy()
+        n = int(np.searchsorted(own, own[0], "right"))
+        m = n if table["i"][0].as_py() != table["j"][0].as_py() else 0
+        hashes, counts = [], []
+        for _, raw, bounds in text_slices(iter(table.select(["text"]).to_batches()), "text"):
+            h, ends = shingle_sets(raw, bounds, k)
+            hashes.append(h)
+            counts.append(np.diff(ends, prepend=0))
+        counts = np.concatenate(counts)
+        if m == len(own):
+            return pa.table({"s": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        same = shared_counts(np.repeat(np.arange(len(own)), counts), np.concatenate(hashes), n, m)
+        link = 100 * same >= 80 * (counts[:n, None] + counts[None, m:] - same)
+        if not m:
+            np.fill_diagonal(link, False)
+            return pa.table({"s": table["sid"], "n": pa.array(link @ sizes, pa.int64())})
+        return pa.table({"s": table["sid"], "n": pa.array(np.concatenate([link @ sizes[m:], sizes[:n] @ link]), pa.int64())})
+
+    return spread.groupBy("root", "i", "j").applyInArrow(count, "s long, n long")
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, small: int = 12, block: int = 1 << 20, with_first: bool = False) -> DataFrame:
+    """doc_id, n_shingles, n_links (other rows whose set is equal or links), component_id (least id that links reach).
 
     with_first adds t, the hash of the row's text, and first (no, id, t): the least row that links reach, by id,
     null ids last, then by t; null for sets without words.
@@ -263,12 +323,18 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     all_links = links.union(more).distinct()
     roots = staged(components(all_links), "roots")
 
-    degree = all_links.select(F.col("a").alias("s"), F.lit(1).alias("one")).union(all_links.select(F.col("b").alias("s"), F.lit(1))).groupBy("s").agg(F.count("one").alias("links"))
     row = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "t")
-    own = sets.where("sid is not null").groupBy("sid").agg(F.min(row if with_first else "doc_id").alias("least"))
-    rooted = own.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
+    own = sets.where("sid is not null").groupBy("sid").agg(F.min(row if with_first else "doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
+    rooted = staged(own.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "least", "size", F.coalesce("root", "sid").alias("root")), "rooted")
+    crowded = crowd.select(F.col("sid").alias("c")).distinct()
+    near = rooted.join(crowded, F.col("sid") == F.col("c"), "left_semi").select("sid", "root", "size")
+    inside = near.join(nodes.select(F.col("sid").alias("_s"), "n"), F.col("sid") == F.col("_s")).select("sid", "n", "root", "size")
+    ends = all_links.join(crowded.toDF("ca"), F.col("a") == F.col("ca"), "left").join(crowded.toDF("cb"), F.col("b") == F.col("cb"), "left").where("ca is null or cb is null").select("a", "b")
+    weights = rooted.select(F.col("sid").alias("w"), "size")
+    known = ends.union(ends.select("b", "a")).join(weights, F.col("b") == F.col("w")).select(F.col("a").alias("s"), F.col("size").alias("n"))
+    degree = known.union(_links_inside(docs, sets, inside, k, block)).groupBy("s").agg(F.sum("n").alias("links"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(best, "root").join(degree, F.col("sid") == F.col("s"), "left").select("sid", "component", F.coalesce("links", F.lit(0)).alias("links"))
+    named = rooted.join(best, "root").join(degree, F.col("sid") == F.col("s"), "left").select("sid", "component", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"))
     named = staged(named.withColumnRenamed("sid", "_s"), "named")
     out = sets.join(named, F.col("sid") == F.col("_s"), "left")
     least = F.col("component.id") if with_first else F.col("component")

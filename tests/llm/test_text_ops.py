@@ -65,6 +65,16 @@ def test_awkward_components(spark, rows):
     assert got[None] == (len(shingles(rows[0][1])), 1)
 
 
+@pytest.mark.parametrize("small,block", [(2, 1 << 20), (12, 1 << 20), (2, 1500)])
+def test_links_equal_brute_force(spark, small, block):
+    base = prose(1, 120)
+    docs = [(i, _near(i, base, (i % 9) / 100)) for i in range(60)] + [(100 + i, _near(i, prose(2, 60 + i), 0.01)) for i in range(8)] + [(200, base.upper()), (201, base), (201, base), (202, "one two"), (203, "ONE two"), (204, None)]
+    sets = [shingles(t) for _, t in docs]
+    want = sorted((i, sum(1 for q, b in enumerate(sets) if p != q and a and b and 100 * len(a & b) >= 80 * len(a | b))) for p, ((i, _), a) in enumerate(zip(docs, sets)))
+    found = ngram_join.jaccard_components(frame(spark, docs), small=small, block=block).collect()
+    assert sorted((r.doc_id, r.n_links) for r in found) == want
+
+
 def test_frequent_tokens_sign_in_combinations():
     hashes = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 100, dtype=np.uint64))
     rare = np.zeros(ngram_join.CELLS, np.uint8)
