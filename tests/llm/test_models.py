@@ -152,6 +152,27 @@ def test_mix_repeats_documents(spark):
     assert got == {k: v for k, v in taken.items() if v}
 
 
+def test_stages_decide_by_row(spark):
+    a, b = prose(80, 60), prose(81, 60)
+    docs = [(1, a), (None, a), (3, b), (3, b), (5, a), (5, prose(82, 50)), (None, prose(83, 40)), (None, prose(83, 40))]
+    rows = frame(spark, docs).select("doc_id", "text", "lang", "source", "n_chars")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, rows, DATA).collect()), key=repr)
+    assert got == sorted([(1, a), (3, b), (5, prose(82, 50)), (None, prose(83, 40))], key=repr)
+
+
+def test_mix_of_repeated_and_null_ids(spark):
+    from orrery.llm import mixing
+
+    docs = [(None if i % 4 == 0 else i // 3, prose(i, 10 + i % 7), "abc"[i % 3]) for i in range(40)] + [(7, "", "a"), (7, None, "a")]
+    rows = frame(spark, docs).select("doc_id", "text", "lang", "source", "n_chars")
+    want, got = {}, {}
+    for r in mixing.mix_sources(rows).collect():
+        want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.taken
+    for r in corpus_pipeline.mix(spark, rows, DATA).collect():
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + len(r.text.split())
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_pipeline_end_to_end(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     rows = out.collect()
