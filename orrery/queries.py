@@ -686,26 +686,25 @@ def _(spark, d):
 
 
 def _phased(spark, d):
-    t = quality.downsample(tel(spark, d), 240)
-    return t.withColumns({"phase": cycles.phase(F.col("time"), START, DAY, scale=DAY), "value": F.col("value") / 100})
+    return tel(spark, d).withColumns({"phase": cycles.phase(F.col("time"), START, DAY, scale=DAY), "value": F.col("value") / 100})
 
 
 @query("f27_network_fit")
 def _(spark, d):
-    return networks.fit_network(_phased(spark, d), ["mnemonic"], inputs=["phase"], seeds=2, rounds=40)
+    return networks.fit_network(_phased(spark, d), ["mnemonic"], inputs=["phase"], seeds=50)
 
 
 @query("f30_network_predict")
 def _(spark, d):
     p = _phased(spark, d)
-    fit = networks.fit_network(p, ["mnemonic"], inputs=["phase"], seeds=1, rounds=40)
+    fit = networks.fit_network(p, ["mnemonic"], inputs=["phase"], seeds=50)
     return p.join(fit.select("mnemonic", "params"), "mnemonic").select("mnemonic", "time", networks.network_column(F.col("params"), [F.col("phase")]).alias("trend"))
 
 
 @query("f36_liquid_fit")
 def _(spark, d):
-    t = quality.downsample(tel(spark, d), 60).withColumn("y", F.col("value") / (1 + F.max("value").over(Window.partitionBy("mnemonic"))))
-    return networks.fit_liquid(t.withColumn("phase", cycles.phase(F.col("time"), START, DAY, scale=DAY)), ["mnemonic"], x="phase", y="y", epochs=20)
+    t = tel(spark, d).withColumn("y", F.col("value") / (1 + F.max("value").over(Window.partitionBy("mnemonic"))))
+    return networks.fit_liquid(t.withColumn("phase", cycles.phase(F.col("time"), START, DAY, scale=DAY)), ["mnemonic"], x="phase", y="y", epochs=100)
 
 
 _HYB = f"{ZON}, sg as (select t.mnemonic, t.time, t.value, case when exists (select 1 from zn where zone_id = 'click' and t.time >= s and t.time < e) then 'high' else 'default' end as state from tel t), hm as (select mnemonic, state, avg(value) as mu, count(*) as n from sg group by all), hs as (select sg.mnemonic, sg.state, any_value(mu) as mu, any_value(n) as n, sqrt(avg(pow(value - mu, 2))) as sigma from sg join hm using (mnemonic, state) group by all)"

@@ -277,3 +277,13 @@ def test_unequal_windows_of_training(spark):
     b = spark.createDataFrame([("a", START + i * 86400) for i in range(8)], "mnemonic string, time double")
     w = [(r.window, (r.start - START) / 86400, (r.end - START) / 86400) for r in cycles.training_windows(b, 2, 86400.0).orderBy("window").collect()]
     assert w == [(0, 0, 4), (1, 2, 6), (2, 4, 8)]
+
+
+def test_networks_use_every_sample(spark):
+    from orrery import queries
+
+    d = "/root/testdata/sf0.01"
+    whole = {r.mnemonic: r["count"] for r in queries.tel(spark, d).groupBy("mnemonic").count().collect()}
+    assert max(whole.values()) > 240
+    assert {r.mnemonic: r["count"] for r in queries._phased(spark, d).groupBy("mnemonic").count().collect()} == whole
+    assert {r.mnemonic: r.n for r in queries.QUERIES["f27_network_fit"](spark, d).collect()} == whole
