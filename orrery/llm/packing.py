@@ -94,26 +94,21 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", style: str = "byte", end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """id, piece, start, length, ids_crc32: whole documents, or pieces of capacity of which the first may be shorter."""
     kind = docs.schema[id_col].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = token_ids(tokenizer, style)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(ids_of.of([x or "" for x in part.column(1).to_pylist()])):
-                    ids += end
-                    at, n = 0, len(ids) // 4
-                    size = n % capacity or min(n, capacity)
-                    while at < n:
-                        row.append(i)
-                        piece.append(0 if at == 0 else piece[-1] + 1)
-                        start.append(at)
-                        length.append(size)
-                        crc.append(zlib.crc32(ids[4 * at : 4 * (at + size)]))
-                        at, size = at + size, capacity
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for part, ids, ends in token_ids(tokenizer, style).of_batches(batches):
+            n = part.num_rows
+            data = memoryview(np.insert(ids, ends, end_id).astype("<u4").tobytes())
+            size = np.diff(ends, prepend=0) + 1
+            many = -(-size // capacity)
+            row = np.repeat(np.arange(n), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            head = np.where(size % capacity, size % capacity, capacity)[row]
+            start = np.where(piece, head + (piece - 1) * capacity, 0)
+            length = np.where(piece, capacity, head)
+            at = 4 * (start + np.repeat(np.cumsum(size) - size, many))
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

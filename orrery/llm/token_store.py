@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import scratch, staged, summed
-from .tokens import token_ids
+from .tokens import forget, token_ids
 
 SCALE, LANES, STEPS, EVERY = 20, 32, 512, 128
 _LOW = np.uint64(1 << 31)
@@ -58,13 +58,15 @@ class Coder:
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
         self.crc = zlib.crc32(freq.astype("<u4").tobytes())
 
-    def encode(self, ids: np.ndarray) -> bytes:
-        """The blocks of ids, one after another."""
+    def encode(self, ids: np.ndarray, group: int = 32) -> Iterator[bytes]:
+        """The blocks of ids, `group` blocks coded side by side at a time."""
+        for lo in range(0, len(ids), group * LANES * STEPS):
+            yield from self._blocks(ids[lo : lo + group * LANES * STEPS])
+
+    def _blocks(self, ids: np.ndarray) -> Iterator[bytes]:
         n = len(ids)
-        if not n:
-            return b""
         blocks = -(-n // (LANES * STEPS))
-        full = np.full(blocks * LANES * STEPS, int(np.argmax(self.freq)), np.int64)
+        full = np.full(blocks * LANES * STEPS, int(np.argmax(self.freq)), np.int32)
         full[:n] = ids
         full = full.reshape(blocks, STEPS, LANES)
         x = np.full((blocks, LANES), _LOW, np.uint64)
@@ -83,12 +85,10 @@ class Coder:
                 marks[:, t // EVERY] = x
         per = sent.reshape(blocks, STEPS // EVERY, -1).sum(2)
         at = (np.cumsum(per, 1) - per).astype("<u4")
-        out = []
         for b in range(blocks):
             body = marks[b].tobytes() + at[b].tobytes() + words[b][sent[b]].tobytes()
             size = min(LANES * STEPS, n - b * LANES * STEPS)
-            out.append(struct.pack("<III", size, len(body), zlib.crc32(body)) + body)
-        return b"".join(out)
+            yield struct.pack("<III", size, len(body), zlib.crc32(body)) + body
 
     def decode(self, data: bytes, blocks: int) -> np.ndarray:
         """All ids of the blocks; every checkpoint starts a lane group of its own."""
@@ -125,11 +125,13 @@ class Coder:
         return np.concatenate([flat[b, : sizes[b]] for b in range(blocks)])
 
 
-def dump_segment(coder: Coder, doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
+def dump_segment(coder: Coder, doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> Iterator[bytes]:
+    """The parts of a segment file, block by block."""
     named = np.array([x is not None for x in doc_ids], np.uint8)
     table = zlib.compress(np.array([x or 0 for x in doc_ids], "<i8").tobytes() + named.tobytes() + np.array(lengths, "<u8").tobytes(), 1)
     blocks = -(-len(ids) // (LANES * STEPS))
-    return _HEAD.pack(_MAGIC, coder.crc, len(doc_ids), len(ids), LANES, STEPS, blocks, len(table), zlib.crc32(table)) + table + coder.encode(ids)
+    yield _HEAD.pack(_MAGIC, coder.crc, len(doc_ids), len(ids), LANES, STEPS, blocks, len(table), zlib.crc32(table)) + table
+    yield from coder.encode(ids)
 
 
 def load_segment(coder: Coder, data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -147,13 +149,14 @@ def load_segment(coder: Coder, data: bytes) -> tuple[list[int | None], np.ndarra
     return [int(x) if y else None for x, y in zip(names, named, strict=True)], lengths, ids
 
 
-def _put(path: str, data: bytes, attempt: int) -> None:
+def _put(path: str, parts: Iterable[bytes], attempt: int) -> None:
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(path)
     store.create_dir(at.rpartition("/")[0], recursive=True)
     with store.open_output_stream(f"{at}.{attempt}.tmp") as out:
-        out.write(data)
+        for data in parts:
+            out.write(data)
     store.move(f"{at}.{attempt}.tmp", at)
 
 
@@ -161,21 +164,18 @@ def tokenized(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, st
     """Staged rows (doc_id, row, ids) and, for each partition, one row of counts."""
     kind = docs.schema[id_col].dataType.simpleString()
     code = "<u2" if vocab <= 1 << 16 else "<u4"
-    end = np.array([end_id], "<u4").tobytes()
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, counts, seen, part = token_ids(tokenizer, style), np.zeros(vocab, np.int64), 0, TaskContext.get().partitionId()
+        counts, seen, part, key = np.zeros(vocab, np.int64), 0, TaskContext.get().partitionId(), None
         names = ["doc_id", "row", "ids", "counts"]
-        key = None
-        for batch in batches:
-            key = batch.schema.field(0).type
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
-                got = [np.frombuffer(x + end, "<u4") for x in ids_of.of([x or "" for x in b.column(1).to_pylist()])]
-                counts += np.bincount(np.concatenate(got), minlength=vocab)
-                rows = pa.array((part << 40) + seen + np.arange(len(got)))
-                seen += len(got)
-                yield pa.RecordBatch.from_arrays([b.column(0), rows, pa.array([x.astype(code).tobytes() for x in got], pa.binary()), pa.nulls(len(got), pa.binary())], names)
+        for b, ids, ends in token_ids(tokenizer, style).of_batches(batches):
+            key, n = b.schema.field(0).type, b.num_rows
+            every = np.insert(ids, ends, end_id)
+            counts += np.bincount(every, minlength=vocab)
+            edge = (np.concatenate([[0], ends + np.arange(1, n + 1)]) * np.dtype(code).itemsize).astype(np.int64)
+            data = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(every.astype(code).tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((part << 40) + seen + np.arange(n)), data, pa.nulls(n, pa.binary())], names)
+            seen += n
         if seen:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, key), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names)
 
@@ -189,11 +189,12 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "
     counts = summed(rows, "counts", vocab)
     freq = scaled(counts)
     packed = zlib.compress(freq.astype("<u4").tobytes())
-    _put(f"{folder}/table.rant", _TABLE + struct.pack("<III", vocab, len(packed), zlib.crc32(packed)) + packed, 0)
+    _put(f"{folder}/table.rant", [_TABLE + struct.pack("<III", vocab, len(packed), zlib.crc32(packed)) + packed], 0)
     code = "<u2" if vocab <= 1 << 16 else "<u4"
     parts = max(1, -(-int(counts.sum()) // segment_tokens))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the encoders' memo, if this worker has tokenised before
         coder, task = Coder(freq), TaskContext.get()
         done: list[tuple[str, int, int]] = []
         names: list[int | None] = []
@@ -203,8 +204,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "
         def flush() -> None:
             nonlocal size
             name = f"seg-{task.partitionId():07d}-{len(done):04d}.rans"
-            data = dump_segment(coder, names, [len(x) for x in held], np.concatenate(held).astype(np.int64))
-            _put(f"{folder}/{name}", data, task.taskAttemptId())
+            _put(f"{folder}/{name}", dump_segment(coder, names, [len(x) for x in held], np.concatenate(held)), task.taskAttemptId())
             done.append((name, len(names), size))
             names.clear()
             held.clear()
@@ -254,7 +254,12 @@ def read_store(spark: SparkSession, folder: str, manifest: DataFrame, *, id_type
                 kept = [pa.array([bytes(x) for x in part], pa.binary())] if with_ids else []
                 yield pa.RecordBatch.from_arrays(cols + kept, ["segment", "doc_id", "at", "n_tokens", "ids_crc32", "ids"][: 5 + with_ids])
 
-    base = manifest.select("segment", (F.sum("n_tokens").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).alias("base"))
+    # starts of segments: within hundreds of range partitions, then over the hundreds
+    group = manifest.withColumn("g", F.substring("segment", 1, 9))
+    before = F.sum("n").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    groups = group.groupBy("g").agg(F.sum("n_tokens").alias("n")).select(F.col("g").alias("_g"), before.alias("before"))
+    inner = F.sum("n_tokens").over(Window.partitionBy("g").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+    base = group.withColumn("inner", inner).join(groups, F.col("g") == F.col("_g")).select("segment", (F.col("inner") + F.col("before")).alias("base"))
     if not manifest.take(1):
         found = spark.createDataFrame([], f"segment string, doc_id {id_type}, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     else:

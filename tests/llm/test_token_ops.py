@@ -14,13 +14,27 @@ ODD = ["", " a", "a ", "a  b", "x\n\ny", "Don't stop, İstanbul. ΑΣ ΣΑΣ, é
 
 @pytest.mark.parametrize("path,style", [(BYTE, "byte"), (WORDS, "word")])
 def test_memo_equals_the_tokenizer(path, style, monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO", 20)
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 4000)
     texts = [*ODD, *(t or "" for _, t, *_ in awkward()), prose(5, 300)]
     model = Tokenizer.from_file(path)
     got = tokens.TokenIds(path, style).of(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("path,style", [(BYTE, "byte"), (WORDS, "word")])
+def test_any_order_of_texts_equals_the_tokenizer(path, style, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 60_000)
+    rng = np.random.default_rng(7)
+    parts = ["a", "The", "Z", "é", "e\u0301", "İ", "ß", "ı", "\u0307", "\u0338", "Σ", "ﬁ", "Ⅷ", "１", "9", ".", ",", "!", "'s", "’", "\n", " ", " ", "  ", "\t", "\xa0", "\u2009", "\u3000", "\x1c", "\u200b", "中", "한", "अ", "ि", "𝐀", "😀", "<|endoftext|>", "|", "-", "\0", "\x85", "Å", "x", "ing"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 9))) for _ in range(6000)]
+    texts += ["İ", "İ,", "i\u0307,", "İ.", "x\u0338,", "x ,", "İ İ,"]
+    model, ids = Tokenizer.from_file(path), tokens.TokenIds(path, style)
+    for _ in range(2):
+        rng.shuffle(texts)
+        want = [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch(texts, add_special_tokens=False)]
+        assert [x for i in range(0, len(texts), 500) for x in ids.of(texts[i : i + 500])] == want
+
+
 def _best_fit(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):
@@ -94,7 +108,7 @@ def test_coder_round_trip(n):
     rng = np.random.default_rng(n)
     ids = rng.zipf(1.3, n) % 5000
     coder = token_store.Coder(token_store.scaled(np.bincount(ids, minlength=5000) if n else np.ones(5000)))
-    data = token_store.dump_segment(coder, [None, 5], [0, n], ids)
+    data = b"".join(token_store.dump_segment(coder, [None, 5], [0, n], ids))
     names, lengths, back = token_store.load_segment(coder, data)
     assert names == [None, 5] and lengths.tolist() == [0, n] and (back == ids).all()
     if n > 4000:
@@ -106,7 +120,7 @@ def test_coder_round_trip(n):
 def test_one_symbol_and_frequencies():
     coder = token_store.Coder(token_store.scaled(np.array([0, 7, 0])))
     ids = np.ones(1000, np.int64)
-    assert (token_store.load_segment(coder, token_store.dump_segment(coder, [1], [1000], ids))[2] == 1).all()
+    assert (token_store.load_segment(coder, b"".join(token_store.dump_segment(coder, [1], [1000], ids)))[2] == 1).all()
     f = token_store.scaled(np.array([10**9, 1, 0, 3]))
     assert f.sum() == 1 << token_store.SCALE and f[1] >= 1 and f[2] == 0
 
