@@ -6,7 +6,7 @@ text with any other white space goes to the tokenizer whole. The chunks of many
 Arrow, so each distinct one is looked up once a batch; numpy puts their ids together.
 
 A chunk of letters that normalising leaves letters is one piece for the model and so skips the pipeline in
-front of it; one full stop or comma behind such letters is a piece of its own. All other chunks go through
+front of it; a run of ASCII signs behind such letters is a piece of its own. All other chunks go through
 the whole tokenizer. Each worker keeps the ids of chunks until they hold `MEMO_BYTES`; forget() frees them.
 Ids never depend on which texts a worker saw before.
 """
@@ -30,6 +30,8 @@ _CONTROL = np.array([x < 32 and x != 10 for x in range(256)])
 #: White space beyond ASCII as UTF-8, by first byte.
 _WIDE = {0xC2: re.compile(rb"\xC2[\x85\xA0]"), 0xE1: re.compile(rb"\xE1\x9A\x80"), 0xE2: re.compile(rb"\xE2(?:\x80[\x80-\x8A\xA8\xA9\xAF]|\x81\x9F)"), 0xE3: re.compile(rb"\xE3\x80\x80")}
 _ADDED = re.compile(rb"<\|")
+#: ASCII signs that, in a run behind letters, are one piece; an apostrophe may start one of its own.
+_MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _kept: dict[tuple[str, str], TokenIds] = {}
 
 
@@ -63,7 +65,8 @@ class TokenIds:
         self.spaced = style == "byte"
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
-        self.marks = dict(zip((b".", b","), self.encode([".", ","]), strict=True))
+        self.marks: dict[bytes, list[int]] = {}
+        self.space = self.shown[32]
         self.clear()
 
     def clear(self) -> None:
@@ -77,11 +80,10 @@ class TokenIds:
 
     def word(self, chunk: str) -> list[int] | None:
         """Ids of a chunk of letters (after one space, in byte style), from the model alone; None for other chunks."""
-        word = chunk[1:] if self.spaced and chunk[:1] == " " else chunk
-        if not word.isalpha():
+        if not (chunk[1:] if self.spaced and chunk[:1] == " " else chunk).isalpha():
             return None
-        if word.isascii():
-            return [x.id for x in self.bpe.tokenize(chunk.replace(" ", self.shown[32]) if self.spaced else chunk.lower())]
+        if chunk.isascii():
+            return [x.id for x in self.bpe.tokenize(chunk.replace(" ", self.space) if self.spaced else chunk.lower())]
         if not self.spaced:
             chunk = self.model.normalizer.normalize_str(chunk)
             if not chunk.isalpha():
@@ -91,25 +93,31 @@ class TokenIds:
     def found(self, chunks: list[bytes]) -> list[list[int]]:
         """The ids of chunks that the memo lacks."""
         out: list[list[int] | None] = []
-        rest: list[tuple[int, str]] = []
-        start, get = self.start, self.memo.get
+        rest: list[int] = []
+        get, start = self.memo.get, self.start
         for i, chunk in enumerate(chunks):
-            mark = self.marks.get(chunk[-1:])
-            if mark:
-                bare = chunk[:-1]
+            bare = chunk.rstrip(_MARKS)
+            if len(bare) == len(chunk):
+                ids = self.word(chunk.decode())
+            else:
                 # ASCII letters stay letters, so the memo's ids of the bare word hold before a mark too
-                at = get(bare) if bare.isascii() and bare[-1:].isalpha() and bare.lstrip(b" ").isalpha() else None
+                at = get(bare) if bare.isascii() and bare.lstrip(b" ").isalpha() else None
                 ids = self.ids[start[at] : start[at + 1]].tolist() if at is not None else self.word(bare.decode())
-                ids = None if ids is None else ids + mark
-            else:
-                ids = self.word(chunk.decode())
+                ids = None if ids is None else ids + self.mark(chunk[len(bare) :])
             out.append(ids)
             if ids is None:
-                rest.append((i, chunk.decode()))
-        for (i, _), ids in zip(rest, self.encode([x for _, x in rest]), strict=True):
+                rest.append(i)
+        for i, ids in zip(rest, self.encode([chunks[i].decode() for i in rest]), strict=True):
             out[i] = ids
         return out
 
+    def mark(self, tail: bytes) -> list[int]:
+        if tail not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[tail] = self.encode([tail.decode()])[0]
+        return self.marks[tail]
+
     def _keep(self, chunks: list[bytes], ids: list[list[int]]) -> None:
         flat = np.fromiter((x for part in ids for x in part), np.uint32)
         if self.used + len(flat) > len(self.ids):
