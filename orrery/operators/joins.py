@@ -25,7 +25,7 @@ def asof(points: DataFrame, facts: DataFrame, *, keys: tuple[str, ...], values:
     both = points.withColumns({"_fact": F.lit(None).cast(facts.schema["_fact"].dataType), "_point": F.lit(1)}).unionByName(facts.withColumn("_point", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy(*keys)
     if ahead:
-        pick = F.first("_fact", ignorenulls=True).over(w.orderBy(F.col(time), F.col("_point")).rowsBetween(0, Window.unboundedFollowing))
+        pick = F.last("_fact", ignorenulls=True).over(w.orderBy(F.col(time).desc(), F.col("_point").desc()).rowsBetween(Window.unboundedPreceding, 0))
     else:
         pick = F.last("_fact", ignorenulls=True).over(w.orderBy(F.col(time), F.col("_point")).rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("_got", pick).where("_point = 1").select(*keys, time, *rest, *(F.col(f"_got.{v}").alias(v) for v in values))

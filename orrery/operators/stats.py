@@ -41,8 +41,9 @@ def cycle_stats(rows: DataFrame, cycles: DataFrame, gaps: DataFrame, threshold:
 def filled(stats: DataFrame) -> DataFrame:
     """A missing cycle takes the one before it, at the head the first after it."""
     known = F.when(F.col("mean").isNotNull(), F.struct(*MEASURES))
-    w = Window.partitionBy("mnemonic").orderBy("cycle")
-    got = F.coalesce(F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    w = Window.partitionBy("mnemonic")
+    back, ahead = (w.orderBy(c).rowsBetween(Window.unboundedPreceding, 0) for c in (F.col("cycle"), F.col("cycle").desc()))
+    got = F.coalesce(F.last(known, ignorenulls=True).over(back), F.last(known, ignorenulls=True).over(ahead))
     keep = [c for c in stats.columns if c not in MEASURES]
     return stats.withColumn("_s", got).select(*keep, *(F.col(f"_s.{m}").alias(m) for m in MEASURES))
 

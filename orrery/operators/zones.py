@@ -109,9 +109,9 @@ def touching(zones: DataFrame, start: float, end: float) -> DataFrame:
 
 def state_of(rows: DataFrame, states: DataFrame, default: str = "default") -> DataFrame:
     """The state whose zone holds a sample; of several the one that began last, else the default."""
-    found = range_join(rows, states, how="left")
     cols = rows.columns
-    return found.groupBy(*cols).agg(F.coalesce(F.max_by("state", "start"), F.lit(default)).alias("state"))
+    found = range_join(rows.withColumn("_row", F.monotonically_increasing_id()), states, how="left")
+    return found.groupBy("_row", *cols).agg(F.coalesce(F.max_by("state", "start"), F.lit(default)).alias("state")).drop("_row")
 
 
 def outside(rows: DataFrame, zones: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def _(spark, d):
     return telemetry.resample(tel(spark, d)).select("mnemonic", r6("time", 3).alias("time"), r6("value", 4).alias("value"))
 
 
-@query("a14_upsert_latest", "select o_custkey as id, max_by(o_orderkey, o_orderdate * 1) as k from (select o_custkey, o_orderkey, epoch_us(o_orderdate) * 1000000 + o_orderkey as o_orderdate from orders) group by o_custkey")
+@query("a14_upsert_latest", "select o_custkey as id, arg_max(o_orderkey, w) as k from (select o_custkey, o_orderkey, cast(epoch_us(o_orderdate) as hugeint) * 1000000 + o_orderkey as w from orders) group by o_custkey")
 def _(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("k"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("decimal(38,0)") * 1000000 + F.col("o_orderkey")).alias("written_at"))
     return archive.latest(o, ["id"]).select("id", "k")
@@ -797,48 +797,68 @@ def _(spark, d):
 # --- I, J: clusters and health ------------------------------------------------------------------------
 
 
-_CUS = "lf as (select cast(o_custkey as bigint) as id, o_orderpriority as f, sum(o_totalprice) as v from orders where o_custkey <= 150 group by 1, 2), nm as (select id, sqrt(sum(v * v)) as n from lf group by id), pr as (select a.id as a, b.id as b, sum(a.v * b.v) as dot from lf a join lf b on a.f = b.f and a.id < b.id group by 1, 2), sm as (select a, b, dot / (x.n * y.n) as sim from pr join nm x on x.id = a join nm y on y.id = b)"
+#: Orders as events, their parts as features.
+_VEC = "lf as (select l_orderkey as id, l_partkey as f, sum(l_quantity) as v from lineitem group by 1, 2), nm as (select id, sqrt(sum(v * v)) as n from lf group by id), pr as (select a.id as a, b.id as b, sum(a.v * b.v) as dot from lf a join lf b on a.f = b.f and a.id < b.id group by 1, 2), sm as (select a, b, dot / (x.n * y.n) as sim from pr join nm x on x.id = a join nm y on y.id = b)"
+_DBS = f"""{_VEC}, nb as (select a as x, b as y from sm where sim >= 0.9 union all select b, a from sm where sim >= 0.9), co as (select x from nb group by x having count(*) >= 2),
+ed as (select x, y from nb where x in (select x from co) and y in (select x from co)), rc(x, y) as (select x, x from co union select rc.x, ed.y from rc join ed on ed.x = rc.y), lb as (select x, min(y) as l from rc group by x),
+bd as (select nb.x, arg_min(lb.l, nb.y) as l from nb join lb on lb.x = nb.y where nb.x not in (select x from co) group by nb.x), al as (select * from lb union all select * from bd),
+ds as (select cast(nm.id as bigint) as event_id, cast(coalesce(l, -1) as bigint) as cluster, case when l is null then 'NOISE' else 'CLUSTER' end as cluster_type from nm left join al on al.x = nm.id)"""
+_SPN = "sp as (select o_orderkey as event_id, epoch_us(o_orderdate) / 1e6 as start, o_totalprice / 1000 as value from orders)"
+_REC = "dy as (select cluster, count(distinct cast(floor(start / 86400) as bigint)) as days from {c} join sp using (event_id) where cluster_type = 'CLUSTER' group by cluster), re as (select event_id, case when days >= {n} then c.cluster else -1 end as cluster, case when days >= {n} then 'CLUSTER' else 'NOISE' end as cluster_type from {c} c left join dy on dy.cluster = c.cluster)"
 
 
 def _vectors(spark, d):
-    o = table(spark, d, "orders").where("o_custkey <= 150")
-    return o.groupBy(F.col("o_custkey").alias("event_id"), F.col("o_orderpriority").alias("feature")).agg(F.sum("o_totalprice").alias("value"))
+    o = table(spark, d, "lineitem")
+    return o.groupBy(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("feature")).agg(F.sum("l_quantity").alias("value"))
+
+
+def _spans(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), telemetry.seconds(F.col("o_orderdate")).alias("start"), (F.col("o_totalprice") / 1000).alias("value"))
 
 
-@query("i01_similarity", f"with {_CUS} select a, b, round(sim, 6) as similarity from sm")
+@query("i01_similarity", f"with {_VEC} select a, b, round(sim, 6) as similarity from sm")
 def _(spark, d):
     return cluster.similarity(_vectors(spark, d)).select("a", "b", r6("similarity").alias("similarity"))
 
 
-@query("i02_neighbours", f"with {_CUS} select a as event_id, b as other from sm where sim >= 0.9 union all select b, a from sm where sim >= 0.9")
+@query("i02_neighbours", f"with {_VEC} select a as event_id, b as other from sm where sim >= 0.9 union all select b, a from sm where sim >= 0.9")
 def _(spark, d):
     return cluster.neighbours(cluster.similarity(_vectors(spark, d)), 0.9)
 
 
-@query("i03_dbscan", f"""with recursive {_CUS}, nb as (select a as x, b as y from sm where sim >= 0.97 union all select b, a from sm where sim >= 0.97), co as (select x from nb group by x having count(*) >= 4),
-ed as (select x, y from nb where x in (select x from co) and y in (select x from co)), rc(x, y) as (select x, x from co union select rc.x, ed.y from rc join ed on ed.x = rc.y), lb as (select x, min(y) as l from rc group by x),
-bd as (select nb.x, arg_min(lb.l, nb.y) as l from nb join lb on lb.x = nb.y where nb.x not in (select x from co) group by nb.x), al as (select * from lb union all select * from bd)
-select cast(nm.id as bigint) as event_id, cast(coalesce(l, -1) as bigint) as cluster, case when l is null then 'NOISE' else 'CLUSTER' end as cluster_type from nm left join al on al.x = nm.id""")
+@query("i03_dbscan", f"with recursive {_DBS} select * from ds")
 def _(spark, d):
     _checkpoints(spark)
     v = _vectors(spark, d)
-    out = cluster.dbscan(v.select("event_id").distinct(), cluster.similarity(v), 0.97, 4)
+    out = cluster.dbscan(v.select("event_id").distinct(), cluster.similarity(v), 0.9, 2)
     return out.select("event_id", F.col("cluster").cast("long").alias("cluster"), "cluster_type")
 
 
-@query("i07_recluster", "select cast(k as bigint) as event_id, case when k <= 4 then 1 else -1 end as cluster, case when k <= 4 then 'CLUSTER' else 'NOISE' end as cluster_type from (select unnest(range(1, 8)) as k)")
+_ORD = "oc as (select o_orderkey as event_id, o_custkey as cluster, case when o_orderpriority like '5%' then 'NOISE' else 'CLUSTER' end as cluster_type from orders)"
+
+
+@query("i07_recluster", f"with {_ORD}, {_SPN}, {_REC.format(c='oc', n=12)} select * from re")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    rows = o.select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("cluster"), F.when(F.col("o_orderpriority").startswith("5"), "NOISE").otherwise("CLUSTER").alias("cluster_type"))
+    return cluster.recluster(rows, _spans(spark, d), 12)
+
+
+_ANA = f"{_DBS}, {_SPN}, {_REC.format(c='ds', n=2)}, an as (select sp.event_id, coalesce(cluster, -1) as cluster, coalesce(cluster_type, 'NOISE') as cluster_type, start, value, coalesce(cluster_type, 'NOISE') = 'NOISE' and start > 883612800.0 and value > 100.0 as error from sp left join re using (event_id))"
+
+
+@query("i08_analysis", f"with recursive {_ANA} select event_id, cast(cluster as bigint) as cluster, cluster_type, start, value, error from an")
 def _(spark, d):
-    rows = spark.range(1, 8).select(F.col("id").alias("event_id"), F.when(F.col("id") <= 4, 1).when(F.col("id") <= 6, 2).otherwise(-1).alias("cluster"), F.when(F.col("id") <= 6, "CLUSTER").otherwise("NOISE").alias("cluster_type"))
-    spans = spark.range(1, 8).select(F.col("id").alias("event_id"), (F.lit(START) + F.when(F.col("id") <= 4, F.col("id") * DAY).otherwise(F.col("id") * 10.0)).alias("start"))
-    return cluster.recluster(rows, spans, 2)
+    _checkpoints(spark)
+    out = cluster.analysis(_vectors(spark, d), _spans(spark, d), eps=0.9, min_pts=2, cutoff=883612800.0, error=100.0)
+    return out.select("event_id", F.col("cluster").cast("long").alias("cluster"), "cluster_type", "start", "value", "error")
 
 
-@query("i08_analysis")
+@query("i09_noise_channels", f"with recursive {_ANA} select distinct l_partkey as name from lineitem join an on an.event_id = l_orderkey and an.cluster_type = 'NOISE' and an.error")
 def _(spark, d):
     _checkpoints(spark)
-    leaf = _leaf(spark, d)
-    spans = leaf.groupBy("event_id").agg(F.min("start").alias("start"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("value"))
-    return cluster.analysis(leaf.select("event_id", F.concat_ws("/", "subsystem", "name").alias("feature"), "value"), spans, cutoff=START + 5 * DAY)
+    out = cluster.analysis(_vectors(spark, d), _spans(spark, d), eps=0.9, min_pts=2, cutoff=883612800.0, error=100.0)
+    return cluster.noise_channels(out.where("error"), _vectors(spark, d).withColumnRenamed("feature", "name"))
 
 
 def _codes(spark, d):
@@ -869,13 +889,16 @@ def _(spark, d):
 
 
 @query("j08_status", f"""with {STA}, {OUT.removeprefix(TEL + ', ')}, x as (select *, abs(diff) as n, time - lag(time) over w as dt, lag(abs(diff)) over w as p from ol window w as (partition by mnemonic order by time)),
-oc as (select mnemonic, sum(case when dt < 60 then 0.5 * (p + n) * dt else 0 end) as oc from x group by mnemonic)
-select sta.mnemonic, round(arg_max(sta.mean, cycle), 6) as mean, round(arg_max(mx, cycle), 6) as max from sta group by sta.mnemonic""")
+oc as (select mnemonic, sum(case when dt < 7200 then 0.5 * (p + n) * dt else 0 end) / 10000 as oc from x group by mnemonic),
+gd as (select mnemonic, value from jd where abs(trend - value) <= 3 * sigma), gm as (select mnemonic, avg(value) as mu from gd group by mnemonic), gs as (select gd.mnemonic, sqrt(avg(pow(value - mu, 2))) as sg from gd join gm using (mnemonic) group by gd.mnemonic),
+rf as (select mnemonic, greatest(avg(sigma) filter (where sigma > 0), arg_max(sigma, cycle)) / 2 as prev, arg_max(mean, cycle) as mean, arg_max(mx, cycle) as mx from sta group by mnemonic),
+st as (select mnemonic, sg / prev as tpc, coalesce(oc, 0) as oc_value, mean, mx from gs join rf using (mnemonic) left join oc using (mnemonic))
+select mnemonic, case when tpc > 3 or oc_value > 2 then 3.0 when tpc > 2 or oc_value > 1 then 2.0 else 1.0 end as code, round(tpc, 6) as tpc, round(oc_value, 6) as oc_value, round(mean, 6) as mean, round(mx, 6) as max from st""")
 def _(spark, d):
-    session = engine.Session(START, START + 31 * DAY, clip=1e9)
+    session = engine.Session(START, START + 31 * DAY, clip=1e9, frequency=7200.0, ocscale=10000.0)
     out = engine.train(tel(spark, d), session)
-    history = spark.createDataFrame([], "mnemonic string, time double, sigma double")
-    return engine.status_frame(out, history, session).select("mnemonic", r6("mean").alias("mean"), r6("max").alias("max"))
+    history = daily(spark, d).select("mnemonic", (START + F.col("cycle") * DAY).alias("time"), (F.col("sigma") / 2).alias("sigma"))
+    return engine.status_frame(out, history, session).select("mnemonic", "code", *(r6(c).alias(c) for c in ("tpc", "oc_value", "mean", "max")))
 
 
 # --- K, L: samples for plots, groups, extremes ---------------------------------------------------------
@@ -892,9 +915,167 @@ def _(spark, d):
     return engine.outlier_groups(found(spark, d), reg, START + 20 * DAY, subsystem=1, group=4)
 
 
+# --- operators on constants, stored models and picked coefficients ----------------------------------------
+
+
+@query("d15_offset_full_length", "select o_orderkey, 2000000000.0 - epoch_us(o_orderdate) / 1e6 as ago, true as full from orders")
+def _(spark, d):
+    o = table(spark, d, "orders").withColumn("s", timefn.format_long(telemetry.seconds(F.col("o_orderdate"))))
+    return o.select("o_orderkey", timefn.offset_from(2e9, F.col("s")).alias("ago"), timefn.full_length(F.col("s")).alias("full"))
+
+
+def _windows(spark, rows):
+    return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in rows.items()], "kind string, a double, b double")
+
+
+@query("d16_session_windows", f"""select * from (values ('explicit', {START} - 43200.0, {START} + 43200.0), ('longterm', 5.0, {START}), ('auto_geo', {START} + 86400.0 - 172800.0, {START} + 86400.0), ('auto_leo', {START} - 86400.0, {START} + 86400.0),
+('auto_longterm', 7.0, {START} + 86400.0), ('planned', {START} - 4 * 86400.0, {START}), ('plain', {START} - 100.0, {START}), ('model_geo', {START} - 3 * 86400.0 * 2 - 600.0, 300.0), ('model_leo', {START} - 6 * 6000.0, 3 * 6000.0), ('model_leo_one', {START} - 3000.0, 1500.0), ('model_longterm', {START} - 43200.0, 43200.0)) v(kind, a, b)""")
+def _(spark, d):
+    return _windows(spark, {
+        "explicit": cycles.session_window(START, DAY), "longterm": cycles.session_window(START, DAY, start=5.0, long_term=True),
+        "auto_geo": cycles.auto_window("geo", START + DAY + 77.0), "auto_leo": cycles.auto_window("leo", START + DAY + 77.0), "auto_longterm": cycles.auto_window("longterm", START + DAY + 77.0, mission=7.0),
+        "planned": cycles.read_range(START - 100.0, START, 2), "plain": cycles.read_range(START - 100.0, START),
+        "model_geo": cycles.model_query_window("geo", START, 3, DAY, 600.0), "model_leo": cycles.model_query_window("leo", START, 3, 6000.0, 600.0), "model_leo_one": cycles.model_query_window("leo", START, 0, 6000.0, 600.0), "model_longterm": cycles.model_query_window("longterm", START, 3, DAY, 600.0),
+    })
+
+
+@query("d28_extended_back", f"with {TEL}, f as (select mnemonic, min(time) as t0 from tel group by mnemonic), n as (select mnemonic, t0 + 5.5 * 86400 as first, cast(floor(5.5) as bigint) as n from f) select mnemonic, round(first - (n - k) * 86400, 4) as time from n, (select unnest(range(0, 6)) as k)")
+def _(spark, d):
+    f = tel(spark, d).groupBy("mnemonic").agg(F.min("time").alias("t0"))
+    return f.select("mnemonic", F.explode(cycles.extended_back(F.col("t0") + 5.5 * DAY, F.col("t0"), DAY)).alias("time")).withColumn("time", r6("time", 4))
+
+
+@query("d36_phases", f"with {TEL}, p as (select mnemonic, time, (time - {START + 10 * DAY}) as d from tel) select mnemonic, time, round((time - {START} - floor((time - {START}) / 43200) * 43200) / 86400, 6) as fourier, round(case when d < 0 then d + 20 * 86400 when d > 20 * 86400 then d - 20 * 86400 else d end / 86400, 6) as days, round((time - {START}) / (31 * 86400.0), 6) as share, (time >= {START + DAY} and time <= {START + DAY} + 2 * 3 * 86400.0) as valid, (time >= {START + DAY} and time <= {START + DAY} + 3 * 3 * 86400.0) as monitored from p")
+def _(spark, d):
+    t, ref, n, p = F.col("time"), F.lit(START + DAY), F.lit(3), F.lit(DAY)
+    return tel(spark, d).select("mnemonic", "time", r6(cycles.phase(t, START, DAY / 2, scale=DAY)).alias("fourier"), r6(cycles.phase_days(t, START + 10 * DAY, 20 * DAY)).alias("days"), r6(cycles.share_of_interval(t, F.lit(START), F.lit(START + 31 * DAY))).alias("share"), cycles.valid_at(t, ref, n, p).alias("valid"), cycles.valid_at(t, ref, n, p, monitoring=True).alias("monitored"))
+
+
+@query("e07_state_stats", f"with {ZON}, sg as (select t.mnemonic, t.time, t.value, case when exists (select 1 from zn where zone_id = 'click' and t.time >= s and t.time < e) then 'high' else 'default' end as state from tel t) select mnemonic, state, max(value) as max, min(value) as min, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as sigma from sg group by all")
+def _(spark, d):
+    z = zoned(spark, d).where("zone_id = 'click'").select(F.lit("high").alias("state"), "start", "end")
+    out = stats.segment_stats(hybrid.split(tel(spark, d), z), ["mnemonic", "state"])
+    return out.select("mnemonic", "state", "max", "min", r6("mean").alias("mean"), r6("sigma").alias("sigma"))
+
+
+@query("e21_flat_fallback", f"with {STA}, f as (select mnemonic, cycle, mx, case when cycle = 3 then mx else mn end as mn from sta) select mnemonic, cycle, round((max(mx) over w + min(mn) over w) / 2, 6) as \"offset\", round(1.8 / (max(mx) over w - min(mn) over w), 6) as scale from f window w as (partition by mnemonic)")
+def _(spark, d):
+    flat = daily(spark, d).withColumn("min", F.when(F.col("cycle") == 3, F.col("max")).otherwise(F.col("min")))
+    return stats.coefficients(flat).select("mnemonic", "cycle", r6("offset").alias("offset"), r6("scale").alias("scale"))
+
+
+_PICK = f"{STA}, cf as (select mnemonic, {START} + cycle * 86400.0 as at, (mx + mn) / 2 as o, 1.8 / (mx - mn) as c from sta)"
+
+
+def _coefficients(spark, d):
+    return stats.coefficients(daily(spark, d)).select("mnemonic", (START + F.col("cycle") * DAY).alias("time"), "offset", "scale")
+
+
+@query("e23_forward_pick", f"with {_PICK} select t.mnemonic, t.time, round(cf.o, 6) as \"offset\", round(cf.c, 6) as scale from tel t asof left join cf on t.mnemonic = cf.mnemonic and t.time < cf.at")
+def _(spark, d):
+    out = joins.asof(tel(spark, d).select("mnemonic", "time"), _coefficients(spark, d), keys=("mnemonic",), values=["offset", "scale"], ahead=True)
+    return out.select("mnemonic", "time", r6("offset").alias("offset"), r6("scale").alias("scale"))
+
+
+@query("e24_normalise_by_state", f"with {_PICK} select t.mnemonic, t.time, round(greatest(-0.9, least(0.9, cf.c * (t.value - cf.o))), 6) as value from tel t asof left join cf on t.mnemonic = cf.mnemonic and t.time >= cf.at")
+def _(spark, d):
+    out = joins.asof(tel(spark, d), _coefficients(spark, d), keys=("mnemonic",), values=["offset", "scale"])
+    return out.select("mnemonic", "time", r6(stats.normalise(F.col("value"), F.col("offset"), F.col("scale"))).alias("value"))
+
+
+@query("f03_constant_predict", f"with {FIT} select mnemonic, time, round(mu, 6) as trend from tel join m using (mnemonic)")
+def _(spark, d):
+    model = engine.ConstantModel()
+    return model.predict(tel(spark, d), model.fit(tel(spark, d))).select("mnemonic", "time", r6("trend").alias("trend"))
+
+
+#: Stored parameters of two channels; the others have no model and fall back.
+_STORED = {"click": [1.0, -0.5, 2.0, 0.25, -1.5, 0.125, 3.0, -0.75, 0.5], "view": [0.0, 2.0, -1.0, 0.5, 0.75, -0.25, 1.0, 0.25, -2.0]}
+
+
+def _predicted(spark, d, basis, n):
+    models = spark.createDataFrame([(k, v[:n]) for k, v in _STORED.items()], "mnemonic string, params array<double>")
+    return linear.predict(tel(spark, d), models, ["mnemonic"], basis, fallback=F.lit(-1.0)).select("mnemonic", "time", r6("trend").alias("trend"))
+
+
+def _stored_sql(terms: list[str], x: str) -> str:
+    cases = " ".join(f"when mnemonic = '{k}' then " + " + ".join(f"({p} * ({t}))" for p, t in zip(v, terms, strict=False)) for k, v in _STORED.items())
+    return f"with {TEL}, h as (select *, {x} as x from tel) select mnemonic, time, round(case {cases} else -1.0 end, 6) as trend from h"
+
+
+@query("f09_time_predict", _stored_sql(["1.0", "x", "x * x"], f"(time - {START}) / 864000"))
+def _(spark, d):
+    return _predicted(spark, d, values.powers((F.col("time") - START) / (10 * DAY), 3), 3)
+
+
+@query("f11_robust_predict", _stored_sql(["1.0", "x"], f"(time - {START}) / 86400"))
+def _(spark, d):
+    return _predicted(spark, d, values.powers((F.col("time") - START) / DAY, 2), 2)
+
+
+@query("f13_multilinear_predict", _stored_sql(["1.0", "x", "value"], f"(time - {START}) / 864000"))
+def _(spark, d):
+    return _predicted(spark, d, F.array(F.lit(1.0), (F.col("time") - START) / (10 * DAY), F.col("value")), 3)
+
+
+@query("f21_long_fourier_predict", _stored_sql(["1.0", *(f"{f}(2 * pi() / 14 * {k} * x)" for k in (1, 2) for f in ("sin", "cos"))], f"(time - {START}) / 86400"))
+def _(spark, d):
+    return _predicted(spark, d, values.fourier((F.col("time") - START) / DAY, 2, 14 * DAY, unit=DAY), 5)
+
+
+@query("f24_extended_predict", _stored_sql(["1.0", *(f"{f}(2 * pi() / 24 * {k} * x)" for k in (1, 2) for f in ("sin", "cos")), "x", *(f"x * {f}(2 * pi() / 24 * x)" for f in ("sin", "cos"))], f"(time - {START}) / 3600"))
+def _(spark, d):
+    return _predicted(spark, d, values.extended_fourier((F.col("time") - START) / 3600, 2, 1, DAY), 8)
+
+
+@query("f40_reusable_models", f"select mnemonic, state, start, case when start = {START} + 15.0 then [2.0] when start = {START + 3 * DAY} - 10.0 then [4.0] end as stored from (select distinct event_type as mnemonic, unnest([{START} + 15.0, {START + DAY} + 40.0, {START + 3 * DAY} - 10.0]) as start, 'high' as state from events)")
+def _(spark, d):
+    names = tel(spark, d).select("mnemonic").distinct()
+    zone = lambda offsets: F.explode(F.array(*(F.lit(START + o) for o in offsets))).alias("start")
+    now = names.select("mnemonic", F.lit("high").alias("state"), zone([15.0, DAY + 40.0, 3 * DAY - 10.0])).withColumn("end", F.col("start") + 3600)
+    old = names.select("mnemonic", F.lit("high").alias("state"), zone([0.0, DAY, 3 * DAY])).withColumn("params", F.array((F.col("start") - START) / DAY * 2 / 3 + 2))
+    return hybrid.reusable(now, old, START + 31 * DAY).select("mnemonic", "state", "start", "stored")
+
+
+@query("f41_needs_refresh", "select s_name as mnemonic, (abs(s_acctbal) / 2000 > 2 or abs(s_acctbal) / 4000 > 2) as refresh from supplier join nation on s_nationkey = n_nationkey")
+def _(spark, d):
+    return _codes(spark, d).select("mnemonic", hybrid.needs_refresh(F.col("tpc"), F.col("oc")).alias("refresh"))
+
+
+@query("f43_extended_zones", f"select {START + DAY} + k * 172800.0 as start, {START + DAY} + k * 172800.0 + case when k = 1 then 10800.0 else 7200.0 end as \"end\" from (select unnest(range(0, 4)) as k)")
+def _(spark, d):
+    z = spark.range(4).select((F.lit(START) + F.col("id") * 2 * DAY).alias("start"), (F.lit(START) + F.col("id") * 2 * DAY + 7200.0).alias("end"))
+    ex = spark.range(1).select(F.lit(START + 3 * DAY + 3600.0).alias("start"), F.lit(START + 3 * DAY + 10800.0).alias("end"))
+    return hybrid.extended_zones(z, ex).select("start", "end")
+
+
+@query("h16_rendered_events", f"with {EVT} select concat_ws(' ', name, strftime(make_timestamp(cast(floor(s * 1000) * 1000 as bigint)), '%Y/%j/%H:%M:%S.%g'), strftime(make_timestamp(cast(floor(e * 1000) * 1000 as bigint)), '%Y/%j/%H:%M:%S.%g'), printf('%.3f', v)) as line from ev")
+def _(spark, d):
+    h = happened(spark, d)
+    return h.select(events.rendered(F.col("name"), F.col("event_start"), F.col("event_end"), F.col("event_value")).alias("line"))
+
+
+@query("j01_evaluate", "select s_name as mnemonic, cast(case when t > 3 or (not q and o > 2) then 3 when t > 2 or (not q and o > 1) then 2 else 1 end as double) as code, t as tpc, o as oc_value from (select s_name, abs(s_acctbal) / 2000 as t, abs(s_acctbal) / 4000 as o, n_name < 'G' as q from supplier join nation on s_nationkey = n_nationkey)")
+def _(spark, d):
+    c = _codes(spark, d)
+    models = c.select("mnemonic", F.lit("default").alias("state"), F.lit(1.0).alias("sigma"), "tpc")
+    last = c.select("mnemonic", *(F.lit(0.0).alias(x) for x in ("max", "min", "mean", "sigma")))
+    out = health.evaluate(models, c.select("mnemonic", F.col("oc").alias("oc_value")), last, c.where("noise").select(F.col("mnemonic").alias("name")), time=START)
+    return out.select("mnemonic", "code", "tpc", "oc_value")
+
+
+@query("j03_hybrid_metrics", "select s_name as mnemonic, case when n_name <> 'FRANCE' and s_acctbal >= 0 then abs(s_acctbal) / 4000 else abs(s_acctbal) / 2000 end as tpc, (s_acctbal > 500.0 or n_name in ('charge', 'default')) as active from supplier join nation on s_nationkey = n_nationkey")
+def _(spark, d):
+    c = channels(spark, d)
+    state = F.when(F.col("subsystem") == "FRANCE", "default").otherwise(F.col("subsystem"))
+    return c.select(F.col("name").alias("mnemonic"), health.hybrid_metric(F.abs("value") / 2000, state, F.col("value") < 0).alias("tpc"), health.active(F.col("value"), 500.0, F.col("subsystem")).alias("active"))
+
+
 def _checkpoints(spark: SparkSession) -> None:
     """A checkpoint folder only where the session names none."""
     import tempfile
 
     if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise engine.EngineError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="orrery-"))

@@ -53,8 +53,9 @@ def interpolated(rows: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame
     both = rows.select(*keys, "time", "value", F.lit(0).alias("asked")).unionByName(grid.select(*keys, "time", F.lit(None).cast("double").alias("value"), F.lit(1).alias("asked")))
     known = F.when(F.col("value").isNotNull(), F.struct("time", "value"))
     back = Window.partitionBy(*keys).orderBy("time", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy("time", F.col("asked").desc()).rowsBetween(0, Window.unboundedFollowing)
-    near = both.withColumns({"a": F.last(known, ignorenulls=True).over(back), "b": F.first(known, ignorenulls=True).over(ahead)}).where("asked = 1")
+    # looking ahead is looking back in falling order: such a frame grows row by row, one to the end is evaluated anew for each
+    ahead = Window.partitionBy(*keys).orderBy(F.col("time").desc(), "asked").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumns({"a": F.last(known, ignorenulls=True).over(back), "b": F.last(known, ignorenulls=True).over(ahead)}).where("asked = 1")
     share = (F.col("time") - F.col("a.time")) / (F.col("b.time") - F.col("a.time"))
     line = F.when(F.col("a").isNull(), F.col("b.value")).when(F.col("b").isNull() | (F.col("a.time") == F.col("b.time")), F.col("a.value")).otherwise(F.col("a.value") + share * (F.col("b.value") - F.col("a.value")))
     return near.select(*keys, "time", line.alias("value"))
