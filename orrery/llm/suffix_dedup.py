@@ -167,7 +167,7 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
 
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.zeros(len(text), _U)
-    for j in range(8):
+    for j in range(min(8, depth)):
         key = (key << _U(8)) | padded[j : j + len(text)].astype(_U)
     rank, known = ranks(key), 8
     while known < depth:
@@ -477,6 +477,12 @@ def _ordered(emitted: DataFrame, length: int) -> DataFrame:
     return _by_bucket(emitted, solve, _NOTE)
 
 
+def _after_first(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key a smaller id has too. Only keys of several ids are written and joined, so a hot key can be split."""
+    first = rows.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    return rows.join(staged(first.select(*keys, "first"), "first"), keys).where("first < id")
+
+
 def _crowded(slices: DataFrame, notes: DataFrame, length: int, piece: int, buckets: int) -> DataFrame:
     """Notes: removed strings of crowded anchors, by 128-bit keys."""
 
@@ -495,8 +501,7 @@ def _crowded(slices: DataFrame, notes: DataFrame, length: int, piece: int, bucke
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, gid, np.int32)), pa.array(np.full(n, sid)), pa.array(every), pa.array(ids[row]), *keys], ["gid", "sid", "at", "id", "k1", "k2"])
 
     rows = staged(_with_notes(slices, notes, each, "gid int, sid long, at long, id long, k1 long, k2 long"), "crowded")
-    first = rows.groupBy("k1", "k2").agg(F.min("id").alias("first"))
-    late = rows.join(first, ["k1", "k2"]).where("first < id")
+    late = _after_first(rows, ["k1", "k2"])
     return late.select("gid", "sid", F.lit(_SPANS).alias("part"), "at", (F.col("at") + length).alias("upto"), F.lit(None).cast("binary").alias("data"))
 
 
@@ -507,9 +512,7 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     total = slices.agg(F.sum("size")).first()[0] or 0
     buckets = max(_tasks(docs), -(-total // bucket_bytes))
     phrases = staged(_phrases(slices, length, modulus), "phrases")
-    first = phrases.groupBy("d1", "d2").agg(F.min("id").alias("first"))
-    found = phrases.join(first, ["d1", "d2"]).where("first < id")
-    late = staged(found.select("gid", "sid", F.lit(_LATE).alias("part"), "at", "upto", F.lit(None).cast("binary").alias("data")), "late")
+    late = staged(_after_first(phrases, ["d1", "d2"]).select("gid", "sid", F.lit(_LATE).alias("part"), "at", "upto", F.lit(None).cast("binary").alias("data")), "late")
     shared = staged(_shared(_anchors(slices, late, length, piece, buckets), crowd), "shared")
     spans = _ordered(_emitted(slices, late.unionByName(shared), length, piece, buckets), length)
     if not shared.where("at = 2").isEmpty():

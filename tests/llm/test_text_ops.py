@@ -34,6 +34,35 @@ def test_shared_passages_by_both_ways(spark, crowd):
     assert sorted(tuple(x) for x in found.collect()) == repeats([(i, t.encode()) for i, t in docs])
 
 
+def test_structured_and_long_texts(spark):
+    thue = bytes(bin(i).count("1") & 1 for i in range(2048))
+    other = bytes(1 - x for x in thue)
+    text = lambda b: "".join("ab"[x] for x in b)
+    docs = [(1, text(thue)), (2, text(other)), (3, text(thue[:1024]) + "x"), (4, text(other[:1024])), (5, "a" * 6000), (6, "a" * 5000 + "b"), (7, "ab" * 2500), (8, "é" * 900), (9, "é" * 700 + "中" * 300), (10, ""), (11, "a" * 49)]
+    found = suffix_dedup.drop_repeats(frame(spark, docs), modulus=64)
+    assert sorted(tuple(x) for x in found.collect()) == repeats([(i, t.encode()) for i, t in docs])
+
+
+def test_slices_smaller_than_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECES", 8)
+    docs = [(i, prose(i % 7, 200) + prose(100 + i, 20)) for i in range(40)]
+    found = suffix_dedup.drop_repeats(frame(spark, docs).repartition(5), modulus=16, bucket_bytes=1000, crowd=3000)
+    assert sorted(tuple(x) for x in found.collect()) == repeats([(i, t.encode()) for i, t in docs])
+
+
+def test_no_documents(spark):
+    assert suffix_dedup.drop_repeats(frame(spark, [])).collect() == []
+
+
+def test_suffix_ranks_order_suffixes():
+    text = np.frombuffer(("abracadabra" * 9 + "mississippi" * 9).encode(), np.uint8)
+    for depth in (3, 8, 13, 50):
+        rank, raw = suffix_dedup.suffix_ranks(text, depth), text.tobytes()
+        keys = [raw[i : i + depth] for i in range(len(raw) - depth)]
+        assert [rank[i] for i in sorted(range(len(keys)), key=keys.__getitem__)] == sorted(rank[: len(keys)])
+        assert len(set(keys)) == len(set(rank[: len(keys)].tolist()))
+
+
 def test_kept_text_is_returned(spark):
     docs = [(1, prose(1, 50)), (2, "head " + prose(1, 50) + " tail")]
     got = {r.doc_id: r.kept for r in suffix_dedup.drop_repeats(frame(spark, docs), with_text=True).collect()}
