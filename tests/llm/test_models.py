@@ -1,5 +1,7 @@
 """Toxicity, page text, the pipeline: held-out accuracy, exact cases, stage effects."""
 
+import math
+
 import corpus_pipeline
 import pytest
 from fixtures import awkward, frame, prose
@@ -12,6 +14,7 @@ DATA = "/root/testdata/sf0.01"
 def test_folding():
     assert toxicity.fold("1D1OT").split() == toxicity.fold("іdіоt").split() == toxicity.fold("ｉｄｉｏｔ").split() == ["idiot"]
     assert toxicity.fold("mo​ron! (x)").split()[0].startswith("moron")
+    assert toxicity.fold("m\u0336o\u0336r\u0336on 𝐦𝐨𝐫𝐨𝐧").split() == ["moron", "moron"] and toxicity.fold("été").split() == ["été"]
 
 
 def _labelled(spark):
@@ -32,6 +35,40 @@ def test_lexicon_and_exceptions(spark):
     assert out.where("predicted <> toxic").count() == 0
 
 
+def _brute_density(lexicon, text):
+    """Every entry at every word, by plain string search."""
+    folded, total = toxicity.fold(text or ""), 0.0
+    covered = {at + i for x in lexicon.exceptions for at in range(len(folded)) if folded.startswith(f" {x} ", at) for i, c in enumerate(f" {x}") if c == " "}
+    for at in range(len(folded)):
+        if folded[at] == " " and at not in covered:
+            total += max((w for x, w in lexicon.weights.items() if folded.startswith(f" {x}", at)), default=0.0)
+    return total / math.log2(8 + folded.count(" "))
+
+
+def test_score_equals_brute_force(spark):
+    docs, labels = _labelled(spark)
+    lexicon = toxicity.learn(docs, labels)
+    lexicon.exceptions += ["zorgo hut", "zorgos"]
+    lexicon.weights["x "] = 2.0
+    texts = ["zorgo hut", "a zorgo hut zorgo", "zorgos zorgoss", "x xx x", "x", "", None, "Z0RGO gr1mpy " * 300, prose(3, 50)]
+    match = lexicon.matcher()
+    assert [lexicon.density(t or "", match) for t in texts] == pytest.approx([_brute_density(lexicon, t) for t in texts])
+    got = toxicity.score(frame(spark, list(enumerate(texts))), lexicon)
+    assert got.columns.count("score") == 1 and [r.score for r in got.orderBy("doc_id").collect()] == pytest.approx([lexicon.score(_brute_density(lexicon, t)) for t in texts])
+
+
+def test_pairs_that_clean_documents_use_are_exceptions(spark):
+    rows = [(i, f"{prose(i, 20)} zorgo {prose(5000 + i, 5)}", 1) for i in range(300)] + [(1000 + i, f"{prose(900 + i, 20)} zorgo hut {prose(7000 + i, 5)}", 0) for i in range(8)] + [(2000 + i, prose(3000 + i, 30), 0) for i in range(200)]
+    lexicon = toxicity.learn(frame(spark, rows), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert "zorgo hut" in lexicon.exceptions and lexicon.density("the zorgo hut", lexicon.matcher()) == 0 < lexicon.density("the zorgo", lexicon.matcher())
+
+
+def test_beginnings_end_where_words_part():
+    found = toxicity.beginnings([("zorgo", True), ("zorgos", True), ("zorba", True), ("zor", False), ("zo", True)])
+    assert {x for _, x in found} == {"zorgo", "zorgos", "zorba", "zor", "zo "}
+    assert ("zorgos", "zor") in found and ("zo", "zo ") in found and ("zor", "zor") in found
+
+
 def test_awkward_scores(spark):
     docs, labels = _labelled(spark)
     lexicon = toxicity.learn(docs, labels)
