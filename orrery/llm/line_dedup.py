@@ -1,20 +1,25 @@
 """Line dedup with a log-template tree of fixed depth, in DataFrame operations alone.
 
 The tree parses a line by its token count, then by its first LEAD tokens; tokens that hold a digit are
-variable fields and read as <*>. Below a leaf, a template is the whole of the other tokens, or, for lines
-of at least `field_tokens` tokens, all but one of PARTS equal runs of them, the run left out being the
-variable field. A template that at least `min_docs` documents hold is recurring; its lines are dropped
-from all documents but the one with the smallest id. Lines of fewer than `min_tokens` tokens stay, unless
-`short_docs` is given: then their whole template recurs from that many documents on. `long_docs` does so for
-the whole template of lines of at least `field_tokens` words, fields not counted; the keys that leave a run out
-keep `min_docs`. Lines without any word, blank or of fields alone, are in neither. None leaves a kind of key out.
+variable fields and read as <*>. Below a leaf, a template is the whole of the other tokens or, from
+LEAD + 1 tokens on, all but one of PARTS equal runs of them, the run left out being the variable field; three
+quarters of a line's tokens at least are fixed. A template recurs from so many documents on:
+
+* `min_docs`: templates of the tree, that is of lines of more than LEAD tokens, whole or with a run left out;
+* `short_docs`: whole lines of up to LEAD tokens;
+* `long_docs`: whole lines of at least `long_words` words, fields not counted.
+
+None leaves a kind out. Recurring lines are dropped from all documents but the one with the smallest id.
+Lines without any word, blank or of fields alone, stay in the last two kinds.
 
 Counting is one aggregation with partial sums in the map tasks, so a line that all documents share is no
-hot key; the way back is a plain equi-join, which adaptive execution can split.
+hot key; the way back is a plain equi-join, which adaptive execution can split. Templates are told apart by
+64-bit hashes.
 
 Nulls: a null text stays null; a row with a null id counts as a document but is nobody's first, and its
-recurring lines are dropped. Repeated rows count each. Empty texts and tables stay as they are. Other
-columns pass through.
+recurring lines are dropped. Repeated rows and ties of ids count each, and rows with the smallest id keep their
+lines. Empty texts and tables stay as they are; a long text costs in proportion to its length. Other columns pass
+through; where one is named like a result, the result takes its place.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ _FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 _GAP = r"[\x20\x09-\x0D]+"
 
 
-def line_templates(text: Column, min_tokens: int, field_tokens: int, kinds: tuple[str, ...] = ("tree",)) -> Column:
+def line_templates(text: Column, long_words: int, kinds: tuple[str, ...] = ("tree",)) -> Column:
     """For each line of a text the array of its template keys; of several kinds, a key's two low bits tell which."""
     masked = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, _FIELD, "<*>")).otherwise(x))
     tokens = F.transform(masked, lambda x: F.split(F.trim(x, F.lit(" \t\n\x0b\x0c\r")), _GAP))
@@ -52,19 +57,19 @@ def line_templates(text: Column, min_tokens: int, field_tokens: int, kinds: tupl
         found = []
         if "tree" in kinds:
             whole, less = key("tree", PARTS), [key("tree", s) for s in range(PARTS)]
-            found.append(F.when(b["n"] < min_tokens, none).when(b["n"] < field_tokens, F.array(whole)).otherwise(F.array(whole, *less)))
+            found.append(F.when(b["n"] <= LEAD, none).otherwise(F.array(whole, *less)))
         if "short" in kinds:
-            found.append(F.when((b["n"] < min_tokens) & (b["words"] > 0), F.array(key("short", PARTS))).otherwise(none))
+            found.append(F.when((b["n"] <= LEAD) & (b["words"] > 0), F.array(key("short", PARTS))).otherwise(none))
         if "long" in kinds:
-            found.append(F.when(b["words"] >= field_tokens, F.array(key("long", PARTS))).otherwise(none))
+            found.append(F.when(b["words"] >= long_words, F.array(key("long", PARTS))).otherwise(none))
         return F.concat(*found) if len(found) > 1 else found[0]
 
     return F.transform(F.transform(tokens, leaf), keys)
 
 
-def line_keys(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 4, field_tokens: int = 8, kinds: tuple[str, ...] = ("tree",)) -> DataFrame:
+def line_keys(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", long_words: int = 8, kinds: tuple[str, ...] = ("tree",)) -> DataFrame:
     """Staged (_id, _t, _keys) of every row: its id, the hash of its text, the template keys of each line."""
-    return staged(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), line_templates(F.col(text_col), min_tokens, field_tokens, kinds).alias("_keys")), "templates")
+    return staged(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), line_templates(F.col(text_col), long_words, kinds).alias("_keys")), "templates")
 
 
 def recurring_lines(keyed: DataFrame, bars: dict[str, int]) -> DataFrame:
@@ -78,14 +83,20 @@ def recurring_lines(keyed: DataFrame, bars: dict[str, int]) -> DataFrame:
     return hits.groupBy("_id", "_t").agg(F.collect_set("_line").alias("_gone"))
 
 
-def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int | None = 10, min_tokens: int = 4, field_tokens: int = 8, short_docs: int | None = None, long_docs: int | None = None) -> DataFrame:
+def without(lines: Column, gone: Column) -> Column:
+    """The text of the lines whose numbers are not in gone, in time linear in both."""
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+
+def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int | None = 10, short_docs: int | None = 10, long_docs: int | None = 2, long_words: int = 8) -> DataFrame:
     """docs with recurring lines out of text_col, plus n_lines and n_dropped."""
     bars = {k: n for k, n in zip(KINDS, (min_docs, short_docs, long_docs), strict=True) if n is not None}
-    gone = recurring_lines(line_keys(docs, id_col=id_col, text_col=text_col, min_tokens=min_tokens, field_tokens=field_tokens, kinds=tuple(bars)), bars)
-    names = docs.columns
+    gone = recurring_lines(line_keys(docs, id_col=id_col, text_col=text_col, long_words=long_words, kinds=tuple(bars)), bars)
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(id_col).alias("_rid"), F.xxhash64(text_col).alias("_rt"))
     both = wide.join(gone, F.col("_rid").eqNullSafe(F.col("_id")) & (F.col("_rt") == F.col("_t")), "left")
     lines = F.split(F.col("_row")[text_col], "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    kept = without(lines, F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("_row")[text_col]).otherwise(kept)
     return both.select(*((text if c == text_col else F.col("_row")[c]).alias(c) for c in names), F.when(F.col("_row")[text_col].isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))

@@ -7,16 +7,18 @@ with d as (select row_number() over () as rid, doc_id, text from documents),
 l as (select rid, doc_id, generate_subscripts(ls, 1) as i, unnest(ls) as line
       from (select rid, doc_id, string_split(text, chr(10)) as ls from d where text is not null)),
 t as (select rid, doc_id, i, line, list_filter(string_split_regex(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as tk from l),
-p as (select rid, doc_id, i, len(tk) as n, greatest(len(tk) - 3, 0) as r, array_to_string(tk[1:3], ' ') as lead, tk from t),
-q as (select rid, doc_id, i, n, lead,
+p as (select rid, doc_id, i, len(tk) as n, len(list_filter(tk, lambda x: x <> '<*>')) as words, greatest(len(tk) - 3, 0) as r, array_to_string(tk[1:3], ' ') as lead, tk from t),
+q as (select rid, doc_id, i, n, words, lead,
         array_to_string(tk[4 : 3 + r // 4], ' ') as r0, array_to_string(tk[4 + r // 4 : 3 + (2 * r) // 4], ' ') as r1,
-        array_to_string(tk[4 + (2 * r) // 4 : 3 + (3 * r) // 4], ' ') as r2, array_to_string(tk[4 + (3 * r) // 4 : 3 + r], ' ') as r3 from p where n >= 4),
-k as (select rid, doc_id, i, concat_ws('|', n, lead, 4, r0, r1, r2, r3) as key from q
-      union all select rid, doc_id, i, concat_ws('|', n, lead, 0, r1, r2, r3) from q where n >= 8
-      union all select rid, doc_id, i, concat_ws('|', n, lead, 1, r0, r2, r3) from q where n >= 8
-      union all select rid, doc_id, i, concat_ws('|', n, lead, 2, r0, r1, r3) from q where n >= 8
-      union all select rid, doc_id, i, concat_ws('|', n, lead, 3, r0, r1, r2) from q where n >= 8),
-c as (select key, min(doc_id) as first_id from k group by key having count(distinct rid) >= 10),
+        array_to_string(tk[4 + (2 * r) // 4 : 3 + (3 * r) // 4], ' ') as r2, array_to_string(tk[4 + (3 * r) // 4 : 3 + r], ' ') as r3 from p where n >= 1),
+k as (select rid, doc_id, i, 10 as bar, concat_ws('|', n, lead, 4, r0, r1, r2, r3) as key from q where n > 3
+      union all select rid, doc_id, i, 10, concat_ws('|', n, lead, 0, r1, r2, r3) from q where n > 3
+      union all select rid, doc_id, i, 10, concat_ws('|', n, lead, 1, r0, r2, r3) from q where n > 3
+      union all select rid, doc_id, i, 10, concat_ws('|', n, lead, 2, r0, r1, r3) from q where n > 3
+      union all select rid, doc_id, i, 10, concat_ws('|', n, lead, 3, r0, r1, r2) from q where n > 3
+      union all select rid, doc_id, i, 10, concat_ws('|', 'short', n, lead) from q where n <= 3 and words > 0
+      union all select rid, doc_id, i, 2, concat_ws('|', 'long', n, lead, r0, r1, r2, r3) from q where words >= 8),
+c as (select key, min(doc_id) as first_id from k group by key, bar having count(distinct rid) >= bar),
 g as (select distinct k.rid, k.i from k join c using (key) where k.doc_id is null or c.first_id < k.doc_id),
 o as (select l.rid, count(*) as n_lines, count(g.i) as n_dropped,
         coalesce(string_agg(l.line, chr(10) order by l.i) filter (where g.i is null), '') as kept
