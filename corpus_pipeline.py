@@ -33,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go, short ones too; a document that loses all its lines goes with them."""
-    kept = line_dedup.drop_recurring_lines(docs.select(*COLUMNS), short_docs=10)
+    kept = line_dedup.drop_recurring_lines(docs.select(*COLUMNS), long_docs=None)
     return _columns(kept.where("n_dropped = 0 or n_dropped < n_lines"))
 
 
@@ -59,7 +59,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if repeated:
         marked = common.staged(kept, "kept").join(again.withColumn("_again", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_rt") == F.col("_t")), "left")
         kept = marked.where("_again is null").unionByName(marked.where("_again").dropDuplicates(["doc_id", "_rt"]))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(line_dedup.without(split, F.col("_gone")))
     return _columns(kept.withColumn("text", text))
 
 
