@@ -281,11 +281,11 @@ def _links_inside(docs: DataFrame, sets: DataFrame, inside: DataFrame, k: int, b
     return spread.groupBy("root", "i", "j").applyInArrow(count, "s long, n long")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, small: int = 12, block: int = 1 << 20, with_first: bool = False) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, small: int = 12, block: int = 1 << 20, with_first: bool = False, with_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, n_links (other rows whose set is equal or links), component_id (least id that links reach).
 
     with_first adds t, the hash of the row's text, and first (no, id, t): the least row that links reach, by id,
-    null ids last, then by t; null for sets without words.
+    null ids last, then by t; null for sets without words. Without with_links n_links is not counted and left out.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text"))
     every = _sets(docs, k)
@@ -326,17 +326,25 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     row = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "t")
     own = sets.where("sid is not null").groupBy("sid").agg(F.min(row if with_first else "doc_id").alias("least"), F.count(F.lit(1)).alias("size"))
     rooted = staged(own.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "least", "size", F.coalesce("root", "sid").alias("root")), "rooted")
+    best = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = rooted.join(best, "root").select("sid", "component", "size")
+    if with_links:
+        degree = _degrees(docs, sets, nodes, rooted, crowd, all_links, k, block)
+        named = named.join(degree, F.col("sid") == F.col("s"), "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("size") - 1)
+    named = staged(named.withColumnRenamed("sid", "_s"), "named")
+    out = sets.join(named, F.col("sid") == F.col("_s"), "left")
+    least = F.col("component.id") if with_first else F.col("component")
+    links = (F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),) if with_links else ()
+    first = ("t", F.col("component").alias("first")) if with_first else ()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), *links, F.coalesce(F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(least), F.col("doc_id")).alias("component_id"), *first)
+
+
+def _degrees(docs: DataFrame, sets: DataFrame, nodes: DataFrame, rooted: DataFrame, crowd: DataFrame, all_links: DataFrame, k: int, block: int) -> DataFrame:
+    """(s, links): how many rows of other nodes each node links with."""
     crowded = crowd.select(F.col("sid").alias("c")).distinct()
     near = rooted.join(crowded, F.col("sid") == F.col("c"), "left_semi").select("sid", "root", "size")
     inside = near.join(nodes.select(F.col("sid").alias("_s"), "n"), F.col("sid") == F.col("_s")).select("sid", "n", "root", "size")
     ends = all_links.join(crowded.toDF("ca"), F.col("a") == F.col("ca"), "left").join(crowded.toDF("cb"), F.col("b") == F.col("cb"), "left").where("ca is null or cb is null").select("a", "b")
     weights = rooted.select(F.col("sid").alias("w"), "size")
     known = ends.union(ends.select("b", "a")).join(weights, F.col("b") == F.col("w")).select(F.col("a").alias("s"), F.col("size").alias("n"))
-    degree = known.union(_links_inside(docs, sets, inside, k, block)).groupBy("s").agg(F.sum("n").alias("links"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(best, "root").join(degree, F.col("sid") == F.col("s"), "left").select("sid", "component", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"))
-    named = staged(named.withColumnRenamed("sid", "_s"), "named")
-    out = sets.join(named, F.col("sid") == F.col("_s"), "left")
-    least = F.col("component.id") if with_first else F.col("component")
-    first = ("t", F.col("component").alias("first")) if with_first else ()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(least), F.col("doc_id")).alias("component_id"), *first)
+    return known.union(_links_inside(docs, sets, inside, k, block)).groupBy("s").agg(F.sum("n").alias("links"))
