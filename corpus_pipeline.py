@@ -44,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     original, and its other lines would stay. A row that loses all its lines goes.
     """
     docs = docs.select(*COLUMNS)
-    found = common.staged(ngram_join.jaccard_components(docs.select("doc_id", "text"), with_first=True).where("first is not null").select("doc_id", "t", "first"), "found")
+    found = common.staged(ngram_join.jaccard_components(docs.select("doc_id", "text"), with_first=True, with_links=False).where("first is not null").select("doc_id", "t", "first"), "found")
     mine = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("t") == F.col("first.t"))
     copies = common.staged(found.where(~mine).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct(), "copies")
     again = common.staged(found.where(mine).groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).count().where("count > 1").select("_id", "_t"), "again")
