@@ -85,8 +85,12 @@ def recurring_lines(keyed: DataFrame, bars: dict[str, int]) -> DataFrame:
 
 def without(lines: Column, gone: Column) -> Column:
     """The text of the lines whose numbers are not in gone, in time linear in both."""
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    # the outer transform of one element binds the lines, which would else be split again for each of them
+    def joined(bound: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(bound) - 1), gone)
+        return F.array_join(F.transform(stay, lambda i: F.get(bound, i)), "\n")
+
+    return F.transform(F.array(lines), joined)[0]
 
 
 def drop_recurring_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int | None = 10, short_docs: int | None = 10, long_docs: int | None = 2, long_words: int = 8) -> DataFrame:
