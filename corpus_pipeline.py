@@ -77,13 +77,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = common.staged(mixing.mix_sources(docs.select("doc_id", "text", "source")).select("doc_id", "source", "size", "taken"), "taken")
     rows = docs.select(*COLUMNS)
     if taken.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = rows.join(taken.select(F.col("doc_id").alias("_id"), "size", "taken"), F.col("doc_id").eqNullSafe(F.col("_id")))
+        rows = rows.join(taken.select(F.col("doc_id").alias("_id"), "size", "taken").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
     else:
         # rows of one id: those of equal source and size are told apart by an ordinal
         same = Window.partitionBy("doc_id", "source", "size")
         sized = rows.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long"))
         sized = sized.withColumn("_at", F.row_number().over(same.orderBy(F.xxhash64("text"), "lang", "n_chars")))
-        paid = taken.withColumn("_n", F.row_number().over(same.orderBy(F.col("taken").desc()))).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_n", "taken")
+        paid = taken.withColumn("_n", F.row_number().over(same.orderBy(F.col("taken").desc()))).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_n", "taken").hint("merge")
         rows = sized.join(paid, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("_at") == F.col("_n")))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0).cast("int")
