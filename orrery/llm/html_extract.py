@@ -28,12 +28,15 @@ from pyspark.sql import DataFrame
 #: Fixed values of the HTML standard: elements without content, with raw content, and inside lines of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
+#: Raw elements whose content goes to the end of the page where they are not closed; others then count for nothing.
+ENDLESS = frozenset("script style textarea title xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}}
 SCOPE = frozenset("ul ol dl table article section div body html td th main aside nav header footer blockquote form".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|[^<]+|<", re.S)
+_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(>|\Z)")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _ENDS = re.compile(r"[.!?…:;。！？][\"'”’»)]*$")
@@ -56,29 +59,79 @@ class Node:
     chars: int = 0
 
 
+class Open:
+    """The open elements, with the places of each tag and of scopes, so that what a tag closes is found at once."""
+
+    def __init__(self) -> None:
+        self.stack = [0]
+        self.tags: list[str] = [""]
+        self.places: dict[str, list[int]] = {}
+        self.scopes, self.outer = [0], [0]
+
+    def push(self, node: int, tag: str) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.tags.append(tag)
+        self.places.setdefault(tag, []).append(at)
+        if tag in SCOPE:
+            self.scopes.append(at)
+            if tag not in ("td", "th"):
+                self.outer.append(at)
+
+    def last(self, tag: str) -> int:
+        """Where the innermost element of a tag is; 0 for none."""
+        found = self.places.get(tag)
+        return found[-1] if found else 0
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.stack.pop()
+            self.places[self.tags.pop()].pop()
+        while self.scopes[-1] >= at:
+            self.scopes.pop()
+        while self.outer[-1] >= at:
+            self.outer.pop()
+
+    def close(self, tag: str) -> None:
+        at = self.last(tag)
+        if at and not (tag in ("p", "li") and self.scopes[-1] > at):
+            self.cut(at)
+
+    def make_room(self, tag: str) -> None:
+        """What the start of a tag closes."""
+        if tag in CLOSES_P and self.last("p") > self.scopes[-1]:
+            self.cut(self.last("p"))
+        if tag in ENDED_BY:
+            at = max(map(self.last, ENDED_BY[tag]))
+            if at > self.outer[-1]:
+                self.cut(at)
+
+
 def parse(page: str) -> list[Node]:
-    """Nodes in page order, parents first; leaves have the tag #text."""
+    """Nodes in page order, parents first; leaves have the tag #text. Time is in proportion to the page."""
     nodes = [Node("#root", -1)]
-    stack = [0]
+    open_ = Open()
     links = 0
     leaf: int | None = None
     at, end = 0, len(page)
+    without_close: set[str] = set()
     while at < end:
         m = _TOKEN.match(page, at)
+        if m.group(0) == "<":
+            # a tag whose quotes don't close ends at the next >
+            m = _LOOSE.match(page, at) or m
         at = m.end()
-        name = m.group(2)
+        name = m.group(2) if m.re.groups else None
         if name is None:
             found = m.group(0)
             if found[:1] != "<" or found == "<":
                 if leaf is None:
                     leaf = len(nodes)
-                    nodes.append(Node("#text", stack[-1]))
+                    nodes.append(Node("#text", open_.stack[-1]))
                 nodes[leaf].text.append(found)
                 size = len(found.strip())
                 nodes[leaf].chars += size
                 nodes[leaf].linked += size if links else 0
-            elif found.startswith("<![CDATA["):
-                continue
             continue
         tag = name.lower()
         if m.group(4) != ">":
@@ -89,17 +142,17 @@ def parse(page: str) -> list[Node]:
             if tag in INLINE:
                 continue
             leaf = None
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == tag:
-                    del stack[depth:]
-                    break
-                if tag in ("p", "li") and nodes[stack[depth]].tag in SCOPE:
-                    break
+            open_.close(tag)
             links = 0
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            close = None if tag in without_close else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if close:
+                at = close.end()
+            elif tag in ENDLESS:
+                break
+            else:
+                without_close.add(tag)
             continue
         if tag in INLINE:
             links += tag == "a"
@@ -111,24 +164,11 @@ def parse(page: str) -> list[Node]:
                 leaf = None
             continue
         leaf, links = None, 0
-        if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == "p":
-                    del stack[depth:]
-                    break
-                if nodes[stack[depth]].tag in SCOPE:
-                    break
-        if tag in ENDED_BY:
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag in ENDED_BY[tag]:
-                    del stack[depth:]
-                    break
-                if nodes[stack[depth]].tag in SCOPE - {"td", "th"}:
-                    break
+        open_.make_room(tag)
         said = " ".join(a or b or c for a, b, c in _NAMES.findall(m.group(3))).lower() if m.group(3) else ""
-        nodes.append(Node(tag, stack[-1], frozenset(_PART.findall(said))))
+        nodes.append(Node(tag, open_.stack[-1], frozenset(_PART.findall(said))))
         if not m.group(3).endswith("/"):
-            stack.append(len(nodes) - 1)
+            open_.push(len(nodes) - 1, tag)
     for i in range(len(nodes) - 1, 0, -1):
         up = nodes[nodes[i].parent]
         up.chars += nodes[i].chars

@@ -3,14 +3,15 @@
 Weights share the corpus out among the sources; a target stops at `repeats` times its source's size and
 the excess goes to the others by weight. The targets are then paid out in blocks of `block_words` words:
 block quotas go to sources by the highest quotients target / (2 s - 1), and inside a source to its shards
-by the highest quotients size / (2 s - 1). A shard takes its quota in a seeded order of its documents:
-whole passes first, then documents until the quota ends, the last of them in part.
+by the highest quotients size / (2 s - 1). A shard's documents in a seeded order are one sequence of blocks;
+it takes whole passes of them first, then the blocks from its beginning until the quota ends, the last document in part.
 
 The quotients need no ranking of all blocks. A share can differ from its exact quota by at most
 share * m / 2 + 1 seats for m parties, so only that band of quotients is ranked: about four rows a party.
 
 Nulls: a null text has size 0, a null source is a source of its own and comes last, a null id is ordinary.
-Repeated rows are documents of their own. An empty table gives an empty result.
+Repeated rows are documents of their own; ties of ids go by size. An empty table gives an empty result. A long text is
+one document whose blocks may be taken in part. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), re
     )
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, block_words: int = 16, shard_words: int = 4_000_000, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, block_words: int = 16, shard_words: int = 500_000, seed: str = "mix") -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target, taken (words, repeats counted)."""
     rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, repeats=repeats)

@@ -55,7 +55,7 @@ a4 as (select pos, count(*) as won from a3 where r <= lft group by pos),
 qs as (select source, source_size, target, base + coalesce(won, 0) as blocks from a2 left join a4 using (pos)),
 e as (select d.doc_id, d.source, d.size, q.source_size, q.target, q.blocks, md5('mix:' || coalesce(cast(d.doc_id as varchar), 'null')) as key
       from d join qs q on d.source is not distinct from q.source),
-f as (select *, cast('0x' || substr(key, 1, 8) as bigint) % cast(greatest(1, ceil(source_size / 4000000)) as bigint) as shard from e),
+f as (select *, cast('0x' || substr(key, 1, 8) as bigint) % cast(greatest(1, ceil(source_size / 500000)) as bigint) as shard from e),
 h0 as (select source, shard, sum(size) as shard_size, any_value(blocks) as n from f group by source, shard),
 h1 as (select *, cast(shard_size as double) as v, sum(cast(shard_size as double)) over g as al, count(*) over g as m from h0 window g as (partition by source)),
 h2 as (select *, cast(greatest(0, coalesce(floor(v * n / nullif(al, 0) - (v / nullif(al, 0) * m / 2 + 1)), 0)) as bigint) as base,
@@ -91,6 +91,6 @@ b as (select d.rid, doc_id, cast(coalesce(n_words, 0) as bigint) as n_words, cas
 e as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not (10 * n_symbols > n_words or word_chars < 2 * n_words or word_chars > 14 * n_words or 10 * n_dup_lines > 3 * n_lines
-    or 10 * n_upper > 3 * n_words or 10 * n_same > 3 * n_words or (n_words < 1000 and 100 * n_distinct < 35 * n_words)) as kept
+    or 10 * n_upper > 3 * n_words or 10 * n_same > 3 * n_words or 4 * n_distinct * n_distinct < 25 * n_words) as kept
 from e
 """

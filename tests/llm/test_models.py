@@ -100,6 +100,21 @@ def test_unseen_shapes(model):
     assert right >= 34
 
 
+def test_broken_markup(model):
+    said = "This is a long first paragraph of the story, and it ends as it should, with a full stop."
+    page = lambda inner: f"<html><body><article>{inner}<p>{said}</p></article></body></html>"
+    for inner in (f'<p class="lead>{said}</p>', f"<p>{said}</p><svg><g>", f"<p>{said}</p><noscript>", f"<p title='x>{said}</p>"):
+        assert html_extract.extract(page(inner), model) == f"{said}\n{said}"
+
+
+def test_parsing_time_is_linear():
+    import time
+
+    page = "<div>" * 40_000 + "</foo>" * 40_000 + "<p><div>" + "<foo>" * 20_000 + "</p><address>" * 20_000 + "<svg>" * 20_000
+    began = time.process_time()
+    assert len(html_extract.parse(page)) > 80_000 and time.process_time() - began < 5
+
+
 def test_page_by_hand(model):
     page = '<html><head><title>t</title><script>if (a<b) x("</p>")</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie">We use cookies.</div><article><h1>The&nbsp;title &amp; more</h1><p>First   para\ngraph&#33;<p>Second <b>bold</b><br>line, which goes on a little so that it is text.</article><footer>&copy; us</footer>'
     assert html_extract.extract(page, model) == "The title & more\nFirst para graph!\nSecond bold line, which goes on a little so that it is text."

@@ -232,7 +232,7 @@ def test_quality_counts_and_order(spark, rows):
     kept = {r.doc_id: (r.kept, r.rejected_by) for r in found}
     assert kept[10][0] and kept[11][0] and not kept[62][0] and kept[62][1] != "base" and kept[60][1] == "base" and kept[63][1] == "base"
     texts = [t for _, t, *_ in more]
-    first = quality.order_rules(texts, {"never": lambda t, b: False, "always": lambda t, b: True})
+    first = quality.measured(frame(spark, list(enumerate(texts))), {"never": lambda p: False, "always": lambda p: True})
     assert first == ["always", "never"]
 
 
