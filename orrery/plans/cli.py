@@ -34,7 +34,11 @@ def parser() -> argparse.ArgumentParser:
         t.add_argument("ids", nargs="*")
         t.add_argument("-s", "--start", type=seconds, required=True)
         t.add_argument("-e", "--end", type=seconds, required=True)
+        t.add_argument("--input-time", "--input_time", type=seconds, dest="input_time")
+        t.add_argument("--input-id", "--inputid", dest="input_id")
         t.add_argument("--mode", choices=("auto", "manual"), default="auto")
+    save = sub.add_parser("save")
+    save.add_argument("ids", nargs="+")
     plot = sub.add_parser("plot")
     plot.add_argument("kind", choices=("data", "outlier", "event"))
     plot.add_argument("id")
@@ -47,6 +51,25 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def settings(folder: str) -> dict:
+    """What init wrote, with `limits` of sessions and the log level; empty without a file."""
+    try:
+        with open(os.path.join(folder, "config.json")) as f:
+            return json.load(f)
+    except FileNotFoundError:
+        return {}
+
+
+def plotted(engine, kind: str, channel: str, start: float, end: float):
+    """Data, outliers or events of a channel in a time range."""
+    from pyspark.sql import functions as F
+
+    if kind == "data":
+        return engine.plot_frame(channel, start, end)
+    table, name, time = ("outliers", "mnemonic", F.col("time")) if kind == "outlier" else ("events", "id", F.col("timetag") / 1000)
+    return engine.archive.read(table).where((F.col(name) == channel) & time.between(start, end)).orderBy(time)
+
+
 def main(argv: list[str] | None = None) -> int:
     from .engine import Engine
 
@@ -56,18 +79,23 @@ def main(argv: list[str] | None = None) -> int:
         with open(os.path.join(args.archive, "config.json"), "w") as f:
             json.dump({"satellite": args.satellite}, f)
         return 0
-    spark = build()
+    config = settings(args.archive)
     if args.command == "debug":
-        spark.sparkContext.setLogLevel("DEBUG" if args.state == "on" else "WARN")
+        with open(os.path.join(args.archive, "config.json"), "w") as f:
+            json.dump(config | {"log": "DEBUG" if args.state == "on" else "WARN"}, f)
         return 0
+    spark = build()
+    spark.sparkContext.setLogLevel(config.get("log", "WARN"))
     source = EventTableSource(spark, args.data)
     engine = Engine(spark, source, args.archive)
     if args.command == "plot":
-        frame = engine.plot_frame(args.id, args.start, args.end) if args.kind == "data" else engine.archive.read("outliers" if args.kind == "outlier" else "events")
-        frame.show(500, truncate=False)
+        plotted(engine, args.kind, args.id, args.start, args.end).show(500, truncate=False)
+        return 0
+    if args.command == "save":
+        print(json.dumps(engine.save(args.ids)))
         return 0
     ids = args.ids or [r.mnemonic for r in source.all().select("mnemonic").distinct().collect()]
-    print(*engine.train(ids, args.start, args.end))
+    print(*engine.train(ids, args.start, args.end, long_term=args.command == "lttrain", input_time=args.input_time, input_id=args.input_id, manual=args.mode == "manual", **config.get("limits", {})))
     return 0
 
 

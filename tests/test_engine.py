@@ -287,3 +287,79 @@ def test_networks_use_every_sample(spark):
     assert max(whole.values()) > 240
     assert {r.mnemonic: r["count"] for r in queries._phased(spark, d).groupBy("mnemonic").count().collect()} == whole
     assert {r.mnemonic: r.n for r in queries.QUERIES["f27_network_fit"](spark, d).collect()} == whole
+
+
+def _two_days(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for name in ("a", "b"):
+        for d in (0, 1):
+            noise = rng.normal(0, 1 + 3 * d, 1440)
+            noise[[100, 101, 700, 701]] = 60.0
+            rows += [(name, START + 86400 * d + 60.0 * i, 10 + float(n)) for i, n in enumerate(noise)]
+    df = spark.createDataFrame(rows, telemetry.SCHEMA)
+
+    class Source:
+        def get_data(self, channels, s, e):
+            return df.where(F.col("mnemonic").isin(channels) & F.col("time").between(s, e))
+
+    return Source()
+
+
+def test_two_day_run_writes_all_tables_and_runs_again(spark, tmp_path):
+    run = engine.Engine(spark, _two_days(spark), str(tmp_path))
+    tables = run.train(["a", "b"], START, START + 2 * 86400, clip=1e9, ratio=1.0)
+
+    def seen():
+        keys = {"events": ["timetag", "id"], "models": ["mnemonic", "state", "ref_time"], "status": ["mnemonic", "state", "time"], "outliers": ["mnemonic", "time"], "cycle_stats": ["mnemonic", "time"]}
+        return {t: sorted(tuple(r) for r in archive.latest(run.archive.read(t), keys[t]).drop("written_at", "np", "pattern_times").collect()) for t in tables}
+
+    first = seen()
+    assert {(r[0], r[2]) for r in first["status"]} == {(c, START + 86400.0 * d) for c in "ab" for d in (0, 1)}
+    assert all(r[4] == 0 for r in first["status"] if r[2] == START) and all(2 < r[4] < 6 for r in first["status"] if r[2] > START)
+    assert {r[1] for r in first["events"]} == {"a", "b", "a#tpc", "b#tpc"}
+    run.train(["a", "b"], START, START + 2 * 86400, clip=1e9, ratio=1.0)
+    assert seen() == first
+
+
+def test_manual_results_wait_for_save(spark, tmp_path):
+    run = engine.Engine(spark, _two_days(spark), str(tmp_path))
+    run.train(["a", "b"], START, START + 86400, manual=True, clip=1e9)
+    assert run.archive.read("models").count() == 0
+    got = run.save(["a"])
+    assert got["models"] == 1 and [r.mnemonic for r in run.archive.read("models").collect()] == ["a"]
+    assert cli.plotted(run, "outlier", "a", START, START + 86400).count() == got["outliers"] == 4
+
+
+def test_long_term_is_one_session(spark, tmp_path):
+    run = engine.Engine(spark, _two_days(spark), str(tmp_path))
+    run.train(["a"], START, START + 2 * 86400, long_term=True)
+    assert [(r.ref_time, r.period) for r in run.archive.read("models").collect()] == [(START, 2 * 86400.0)]
+
+
+def test_earlier_model_flags_or_is_stale(spark):
+    rows = spark.createDataFrame([("a", START + 60.0 * i, 100.0 if i in (5, 6) else float(i % 2)) for i in range(1440)], telemetry.SCHEMA)
+    session = engine.Session(START, START + 86400, clip=1e9, ratio=0.01)
+    good = spark.createDataFrame([("a", 0.5, 1.0)], "mnemonic string, mu double, sigma double")
+    assert engine.train(rows, session, earlier=good).models.first().mu == pytest.approx(0.5, abs=1e-3)
+    stale = good.withColumn("mu", F.lit(-50.0))
+    first = engine.train(rows, session, earlier=stale).outliers
+    assert first.count() == 2
+
+
+def test_discrete_and_counter_models(spark):
+    rows = spark.createDataFrame([("a", START + 60.0 * i, 2.0 if i % 10 == 0 else 1.0) for i in range(1440)], telemetry.SCHEMA)
+    assert engine.train(rows, engine.Session(START, START + 86400), "discrete").models.first().sigma == pytest.approx(1.5)
+    count = spark.createDataFrame([("c", START + 80.0 * i, float((i * 8 + i % 3) % 5000)) for i in range(1000)], telemetry.SCHEMA)
+    out = engine.train(count, engine.Session(START, START + 86400, warning=1e9), "lmtrend").models.first()
+    assert out.mu == pytest.approx(1.0, rel=0.01)
+
+
+def test_hybrid_of_unlike_models(spark):
+    rows = spark.createDataFrame([("a", START + 60.0 * i, (3.0 + 2 * i / 1440 if 400 <= i < 800 else 1.0) + 0.001 * (i % 2)) for i in range(1440)], telemetry.SCHEMA)
+    states = spark.createDataFrame([("high", START + 60.0 * 400, START + 60.0 * 800)], "state string, start double, end double")
+    line = engine.BasisModel("line", values.powers((F.col("time") - START) / 86400, 2))
+    out = engine.train(rows, engine.Session(START, START + 86400, clip=1e9, warning=1e9), engine.HybridModel(states, {"high": line})).models
+    got = {r.state: (r.params, r.sigma) for r in out.collect()}
+    assert got["default"][0] == pytest.approx([1.0005], abs=1e-4) and got["high"][0] == pytest.approx([3.0005, 2.0], abs=1e-3)
+    assert max(s for _, s in got.values()) < 1e-3
