@@ -19,7 +19,8 @@ Links are counted whole: a pair that shares a small bucket is verified, and node
 against each other inside their component, block by block, without rows for the pairs.
 
 Nulls: a null or wordless text has an empty set and links with nothing; a null id is ordinary, but no
-component's id unless all are null. Repeated rows are documents each. An empty table gives an empty result.
+component's id unless all are null. Repeated rows are documents each, ties of ids too. An empty table gives an empty
+result. A long text is hashed whole, in a slice of its own. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -198,7 +199,7 @@ def _spoken(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "t")).alias("_f")
     speak = staged(sets.where("sid is not null").groupBy("sid").agg(first).join(nodes, F.col("sid") == F.col("node"), "left_semi").select("sid", "_f.doc_id", F.col("_f.t").alias("_t")), "speakers")
     rows = _filtered(docs, speak).withColumnRenamed("doc_id", "_id")
-    return rows.join(speak, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("_t"))).select("sid", "text").dropDuplicates(["sid"])
+    return rows.join(speak.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("_t"))).select("sid", "text").dropDuplicates(["sid"])
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -206,8 +207,9 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> Dat
     pairs = staged(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     spoken = _spoken(docs, sets, nodes)
-    right = pairs.join(spoken.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
-    both = right.join(spoken.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+    # speakers and pairs grow with the corpus: they are never broadcast, however few there are
+    right = pairs.hint("merge").join(spoken.select(F.col("sid").alias("b"), F.col("text").alias("tb")), "b")
+    both = right.hint("merge").join(spoken.select(F.col("sid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def one(text: str | None) -> np.ndarray:
         raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -255,7 +257,7 @@ def _links_inside(docs: DataFrame, sets: DataFrame, inside: DataFrame, k: int, b
     dealt = staged(inside.join(total, F.col("root") == F.col("r")).select("sid", "root", "size", "blocks", F.pmod(F.xxhash64("sid", F.lit("block")), F.col("blocks")).cast("int").alias("own")), "dealt")
     texts = _spoken(docs, sets, dealt.select(F.col("sid").alias("node"))).withColumnRenamed("sid", "_s")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = dealt.join(texts, F.col("sid") == F.col("_s")).select("sid", "root", "size", "own", "text", other.alias("other"))
+    spread = dealt.hint("merge").join(texts, F.col("sid") == F.col("_s")).select("sid", "root", "size", "own", "text", other.alias("other"))
     spread = spread.select("sid", "size", "own", "text", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def count(table: pa.Table) -> pa.Table:
