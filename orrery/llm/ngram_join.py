@@ -13,7 +13,7 @@ Equal sets are one node. Buckets of up to `small` nodes give their pairs, which
 count filter thin out: what the prefixes share and what lies beyond them must reach the needed overlap.
 Larger buckets give stars: each node with the bucket's most central node. Pairs that remain are verified on
 the texts. After the stars' links are components, nodes of large buckets that are in different components
-and pass the filters are paired, verified, and the components are final. So no group of copies is
+and pass the filters are paired, their shared signatures counted, the rest verified, and the components are final. So no group of copies is
 expanded into all its pairs, and no pair that could add a link between components is left out.
 Links are counted whole: a pair that shares a small bucket is verified, and nodes of large buckets are counted
 against each other inside their component, block by block, without rows for the pairs.
@@ -230,6 +230,15 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int) -> Dat
     return staged(both.mapInArrow(check, "a long, b long"), "links")
 
 
+def _share_enough(pairs: DataFrame, bucket: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose shared signatures, counted exactly, and the tokens beyond the class-1 prefixes can reach the needed overlap."""
+    pairs = staged(pairs, "crossing")
+    mine, other = bucket.select(F.col("sid").alias("a"), "sig"), bucket.select(F.col("sid").alias("b"), "sig")
+    counted = pairs.hint("merge").join(mine, "a").join(other.hint("merge"), ["b", "sig"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"))
+    both = counted.join(nodes.toDF("a", "na", "alone_a"), "a").join(nodes.toDF("b", "nb", "alone_b"), "b")
+    return both.where("9 * s >= least(4 * (na + nb) - 9 * (na - alone_a), 4 * (na + nb) - 9 * (nb - alone_b))").select("a", "b")
+
+
 def shared_counts(rows: np.ndarray, hashes: np.ndarray, n: int, m: int) -> np.ndarray:
     """How many hashes each of sets 0 .. n - 1 shares with each of sets m ..; (row, hash) are all distinct."""
     width = int(rows.max()) + 1 if len(rows) else n
@@ -321,7 +330,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     able = staged(able.join(mixed, "sig", "left_semi"), "able")
     other = able.select("sig", *(F.col(c).alias(f"{c}_") for c in ("sid", "n", "pos", "root")))
     cross = able.join(other, "sig").where("sid < sid_ and root <> root_").where(_reaches("n", "n_", "n - pos", "n_ - pos_")).select(F.col("sid").alias("a"), F.col("sid_").alias("b")).distinct()
-    more = _verified(docs, sets, cross, k)
+    more = _verified(docs, sets, _share_enough(cross, bucket, nodes), k)
     all_links = links.union(more).distinct()
     roots = staged(components(all_links), "roots")
 
