@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     kept = spark.sparkContext._jsc.sc().getCheckpointDir()
     if kept.isDefined():
         return kept.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="orrery-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -44,10 +47,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int = 16 << 20) -> Iterator[None]:
+    """Arrow batches of at most size bytes while jobs run: a batch stands in the JVM and in the worker at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again: the lineage ends here."""
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -72,6 +91,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE)
             hi = min(hi, batch.num_rows)
             yield whole.slice(lo, hi - lo), raw[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
             lo = hi
+    # the worker outlives the task: what Arrow keeps for later goes back
+    pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

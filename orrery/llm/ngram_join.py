@@ -182,8 +182,9 @@ def _filtered(docs: DataFrame, wanted: DataFrame, bits: int = 1 << 24) -> DataFr
         yield pa.RecordBatch.from_arrays([pa.array([field.tobytes()], pa.binary())], ["field"])
 
     key = F.xxhash64("doc_id")
-    fields = wanted.select(key.alias("h")).coalesce(4).mapInArrow(mark, "field binary")
-    field = summed(fields, "field", bits // 8, kind="|u1", merge=np.bitwise_or)
+    field = np.zeros(bits // 8, np.uint8)
+    for r in wanted.select(key.alias("h")).coalesce(4).mapInArrow(mark, "field binary").toLocalIterator():
+        field |= np.frombuffer(r.field, np.uint8)
 
     def sift(batches):
         for b in batches:
