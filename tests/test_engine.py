@@ -363,3 +363,11 @@ def test_hybrid_of_unlike_models(spark):
     got = {r.state: (r.params, r.sigma) for r in out.collect()}
     assert got["default"][0] == pytest.approx([1.0005], abs=1e-4) and got["high"][0] == pytest.approx([3.0005, 2.0], abs=1e-3)
     assert max(s for _, s in got.values()) < 1e-3
+
+
+def test_gap_gate_leaves_out_a_channel(spark):
+    whole = [("a", START + 60.0 * i, float(i % 7)) for i in range(1440)]
+    holed = [("b", START + 60.0 * i, float(i % 7)) for i in range(1440) if not 200 <= i < 1200]
+    rows = spark.createDataFrame(whole + holed, telemetry.SCHEMA)
+    assert {r.mnemonic for r in engine.train(rows, engine.Session(START, START + 86400, gap=0.5)).models.collect()} == {"a"}
+    assert {r.mnemonic for r in engine.train(rows, engine.Session(START, START + 86400)).models.collect()} == {"a", "b"}
