@@ -23,7 +23,7 @@ import pyarrow as pa
 from .common import text_slices
 
 #: Bytes of memo a vocabulary may hold in a worker, by ENTRY bytes a chunk and four an id.
-MEMO_BYTES, ENTRY = 96 << 20, 200
+MEMO_BYTES, ENTRY = 160 << 20, 200
 #: Bytes of text that are put together at once; a longer text is a run of its own.
 SLICE = 4 << 20
 _CONTROL = np.array([x < 32 and x != 10 for x in range(256)])
