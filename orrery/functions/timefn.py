@@ -81,6 +81,12 @@ def year_day(t: Column, dash: str = "/") -> Column:
     return F.date_format(_stamp(t), f"yyyy'{dash}'DDD" if dash else "yyyyDDD")
 
 
+def year_day_at(s: Column) -> Column:
+    """D11 of a timestamp: YYYY/DDD; years after 9999 have more digits and no sign."""
+    y = F.year(s)
+    return F.concat(F.when(y.between(0, 9999), F.lpad(y.cast("string"), 4, "0")).otherwise(y.cast("string")), F.lit("/"), F.lpad(F.dayofyear(s).cast("string"), 3, "0"))
+
+
 def hour_floor_ms(ms: Column) -> Column:
     """Milliseconds in and out."""
     return (F.floor(ms / 3600000) * 3600000).cast("long")

@@ -371,3 +371,24 @@ def test_gap_gate_leaves_out_a_channel(spark):
     rows = spark.createDataFrame(whole + holed, telemetry.SCHEMA)
     assert {r.mnemonic for r in engine.train(rows, engine.Session(START, START + 86400, gap=0.5)).models.collect()} == {"a"}
     assert {r.mnemonic for r in engine.train(rows, engine.Session(START, START + 86400)).models.collect()} == {"a", "b"}
+
+
+def _against_sql(spark, tmp_path, name, rows):
+    """The rows of an engine query and of its SQL, on an events table of these rows (event_id, ts, mnemonic, value)."""
+    import duckdb
+    from orrery import queries
+    from tables import same
+
+    db = duckdb.connect()
+    db.sql("create table events (event_id bigint, ts timestamp, event_type varchar, value double)")
+    db.executemany("insert into events values (?, ?, ?, ?)", rows)
+    db.sql(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    db.sql("set threads = 1")
+    got, want = queries.QUERIES[name](spark, str(tmp_path)), db.sql(queries.SQL[name])
+    return same(got.columns, [tuple(r) for r in got.collect()]), same(want.columns, want.fetchall())
+
+
+def test_calendar_at_the_edges_of_hours_and_far_years(spark, tmp_path):
+    times = ["2024-01-31 22:59:59.999499", "2024-01-31 22:59:59.9995", "2024-02-29 23:59:59.9998", "1969-12-31 23:59:59.999999", "1969-12-31 22:59:59.9985", "2401-01-01 03:59:59.999999", "9999-12-31 23:59:59.9999", "12345-06-01 10:00:00", None]
+    got, want = _against_sql(spark, tmp_path, "d11_calendar", [(i, t, "a", 1.0) for i, t in enumerate(times)])
+    assert got == want
