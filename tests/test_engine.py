@@ -398,3 +398,9 @@ def test_sharpest_time_where_samples_share_a_time(spark, tmp_path):
     rows = [(i, f"2024-01-01 00:00:{s:02d}", m, v) for m, xs in {"a": [(0, 1.0), (5, 2.0), (5, 2.0), (9, 1.0)], "b": [(0, 1.0), (5, 9.0), (9, 1.0), (12, 1.0)], "c": [(0, 1.0), (3, 7.0), (5, 2.0), (5, 3.0), (9, 1.0)], "d": [(4, 1.0)] * 3}.items() for i, (s, v) in enumerate(xs)]
     got, want = _against_sql(spark, tmp_path, "d30_sharpest_time", rows)
     assert got == want and len(got) == 4
+
+
+def test_extreme_time_of_equal_values_is_the_first(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:{i:02d}:00", "a", [3.0, 0.0, 5.0, 0.0, 5.0][i % 5]) for i in range(60)]
+    got, want = _against_sql(spark, tmp_path, "d29_extreme_time", rows)
+    assert got == want and f"{START + 120:.6f}|{START + 60:.6f}" in got[0]
