@@ -1,6 +1,8 @@
 """Token memo, packing, token store, top-k: round trips and brute force."""
 
+import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -169,3 +171,31 @@ def test_few_candidates_and_empty(spark):
     assert topk.top_k(none, none).count() == 0
     empty = frame(spark, [])
     assert packing.pack(empty, BYTE).count() == 0 and token_store.store_and_read(empty, WORDS).count() == 0
+
+
+def _top_of_rows(vectors, k=10):
+    """Brute force by row in whole numbers; every row but the query's own is a candidate."""
+    ints = [(i, [math.floor(Fraction(c) * 1024) for c in v]) for i, v in vectors]
+    long = 2**63
+    out = []
+    for at, (q, w) in enumerate(ints):
+        if q % 100 == 0:
+            scored = [(sum(a * b for a, b in zip(v, w)), i) for j, (i, v) in enumerate(ints) if j != at]
+            out += [(q, r + 1, i, min(max(s, -long), long - 1)) for r, (s, i) in enumerate(sorted(scored, key=lambda c: (-c[0], c[1]))[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("blocks", [8, 8192])
+@pytest.mark.parametrize("case", ["twins", "large", "vast"])
+def test_top_k_of_twins_and_of_large_components(spark, case, blocks):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(195, 230)]
+    if case == "twins":
+        rows += [(200, [3.0, 0.0, 0.0, 1.0]), rows[5], rows[5], (201, [1.0] * 4), (201, [1.0] * 4), (300, [2.0] * 4), (300, [2.0] * 4)]
+    elif case == "large":
+        rows += [(i, (rng.normal(size=4) * 10.0 ** rng.integers(0, 9)).tolist()) for i in range(290, 320)]
+    else:
+        rows += [(230 + i, [s * 10.0**e, 0.0, -1.0, 2.0]) for i, (s, e) in enumerate((s, e) for s in (1, -1) for e in (15, 16, 30, 200, 300, 308))] + [(300, [1e15, 1.0, 2.0, 3.0]), (400, [-1e308, 1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), block_rows=blocks, query_rows=2)
+    assert sorted(tuple(r) for r in got.collect()) == _top_of_rows(rows)
