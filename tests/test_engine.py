@@ -404,3 +404,37 @@ def test_extreme_time_of_equal_values_is_the_first(spark, tmp_path):
     rows = [(i, f"2024-01-01 00:{i:02d}:00", "a", [3.0, 0.0, 5.0, 0.0, 5.0][i % 5]) for i in range(60)]
     got, want = _against_sql(spark, tmp_path, "d29_extreme_time", rows)
     assert got == want and f"{START + 120:.6f}|{START + 60:.6f}" in got[0]
+
+
+def test_liquid_network_in_stretches_equals_single_steps():
+    """Of 1300 steps, also where the state is not forgotten; and 60,000 steps in seconds."""
+    import time
+
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0, 1, 1300)
+    y = 0.5 + 0.3 * np.sin(6 * x)
+    for tau, scale in ((1.0, 1.0), (1e6, 0.1)):
+        net = networks.LiquidNetwork(5, tau=tau)
+        net.w *= scale
+        h = np.zeros(5)
+        hs, as_ = [h], []
+        for v in x:
+            as_.append(np.tanh(net.w @ np.append(v, h) + net.b))
+            h = h + net.dt * (as_[-1] - h / net.tau)
+            hs.append(h)
+        out, got_h, got_a = net.run(x)
+        assert np.allclose(got_h, hs, rtol=1e-9, atol=1e-11) and np.allclose(got_a, as_, rtol=1e-9, atol=1e-11)
+        e = (out - y) * out * (1 - out) / len(y)
+        back, gw, gb = np.zeros(5), np.zeros_like(net.w), np.zeros(5)
+        for t in range(len(x) - 1, -1, -1):
+            back = back + e[t] * net.v
+            d = back * net.dt * (1 - as_[t] ** 2)
+            gw, gb = gw + np.outer(d, np.append(x[t], hs[t])), gb + d
+            back = back * (1 - net.dt / net.tau) + net.w[:, 1:].T @ d
+        w, b = net.w.copy(), net.b.copy()
+        net.train(x, y, 1, rate=1.0)
+        assert np.allclose(w - net.w, gw, rtol=1e-6, atol=1e-10) and np.allclose(b - net.b, gb, rtol=1e-6, atol=1e-10)
+    long = rng.uniform(0, 1, 60_000)
+    begin = time.perf_counter()
+    networks.LiquidNetwork(10).train(long, long, 3)
+    assert time.perf_counter() - begin < 3
