@@ -5,9 +5,9 @@ later step meets a slice's text where it lies; only notes about slices travel.
 
 Parse. A window of `length` bytes whose rolling hash is small is a trigger; a phrase runs from one trigger
 through the next one, so neighbours share a trigger and every string of `length` bytes lies whole in some
-phrase. The parse is one row a phrase occurrence, named by a 128-bit digest. The dictionary is the distinct
-phrases, each at the document with the smallest id that has it; an occurrence in a later document is removed
-as a whole, by one row. Copies of documents, however many, end here.
+phrase. The parse is one row a distinct phrase of a slice, named by a 128-bit digest, with its occurrences
+there. The dictionary is the distinct phrases, each at the document with the smallest id that has it; an
+occurrence in a later document is removed as a whole. Copies of documents, however many, end here.
 
 Dictionary suffixes. Comparisons end at `length` bytes and never reach past a phrase, so the dictionary's
 suffix array is needed to that depth only. Its suffixes are dealt by anchors: of a string the least rolling hash of
@@ -276,8 +276,8 @@ def _rows(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarr
 
 
 def _phrases(slices: DataFrame, length: int, modulus: int) -> DataFrame:
-    """The parse: (gid, sid, at, upto, id, d1, d2) of every phrase of rows with an id."""
-    names = ["gid", "sid", "at", "upto", "id", "d1", "d2"]
+    """The parse: (gid, sid, id, most, d1, d2, data) of every distinct phrase of a slice, of rows with an id: least and greatest id, and (at, upto, id) of each occurrence."""
+    names = ["gid", "sid", "id", "most", "d1", "d2", "data"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,10 +287,22 @@ def _phrases(slices: DataFrame, length: int, modulus: int) -> DataFrame:
                 start, end, row = start[keep], end[keep], row[keep]
                 data = memoryview(raw)
                 digest = np.frombuffer(b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), np.int64).reshape(-1, 2)
-                n = len(start)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gid, np.int32)), pa.array(np.full(n, sid)), pa.array(start), pa.array(end), pa.array(ids[row]), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], names)
+                order = np.lexsort((ids[row], digest[:, 1], digest[:, 0]))
+                digest, found = digest[order], np.column_stack([start, end, ids[row]])[order].astype(np.int64)
+                new = np.ones(len(order), bool)
+                new[1:] = (digest[1:] != digest[:-1]).any(1)
+                edge = np.append(np.flatnonzero(new), len(order))
+                first, last = edge[:-1], edge[1:] - 1
+                n = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, gid, np.int32)), pa.array(np.full(n, sid)), pa.array(found[first, 2]), pa.array(found[last, 2]), pa.array(digest[first, 0]), pa.array(digest[first, 1]), _cut(found, edge * 3)], names)
 
-    return slices.mapInArrow(each, "gid int, sid long, at long, upto long, id long, d1 long, d2 long")
+    return slices.mapInArrow(each, "gid int, sid long, id long, most long, d1 long, d2 long, data binary")
+
+
+def _late(data: pa.Scalar, first: int) -> np.ndarray:
+    """(at, upto) of a phrase's occurrences in documents after its first."""
+    found = np.frombuffer(data.as_buffer(), np.int64).reshape(-1, 3)
+    return found[found[:, 2] > first, :2]
 
 
 def _with_notes(slices: DataFrame, notes: DataFrame, each: Callable, schema: str) -> DataFrame:
@@ -299,14 +311,15 @@ def _with_notes(slices: DataFrame, notes: DataFrame, each: Callable, schema: str
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.take(pa.array(np.argsort(right.column(1).to_numpy(), kind="stable")))
         sid, part, at, upto = (right.column(i).to_numpy() for i in range(1, 5))
-        full = right.column(5).combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        full = right.column(5).combine_chunks().is_valid().to_numpy(zero_copy_only=False) & (part != _LATE)
         stretch = np.column_stack([at, upto]).astype(np.int64)
         out = []
         for piece in _rows(left):
             lo, hi = np.searchsorted(sid, [piece[1], piece[1] + 1])
             bare, kind = ~full[lo:hi], part[lo:hi]
             noted = [(int(part[i]), int(at[i]), right.column(5)[int(i)].as_buffer()) for i in lo + np.flatnonzero(~bare)]
-            out.append(each(piece, stretch[lo:hi][bare & (kind == _LATE)], stretch[lo:hi][bare & (kind == _SPANS)], noted))
+            gone = [_late(right.column(5)[int(i)], int(at[i])) for i in lo + np.flatnonzero(kind == _LATE)]
+            out.append(each(piece, np.concatenate([np.zeros((0, 2), np.int64), *gone]), stretch[lo:hi][bare & (kind == _SPANS)], noted))
         out = [x for x in out if x is not None and x.num_rows]
         return pa.Table.from_batches(out) if out else kinds.empty_table()
 
@@ -477,10 +490,10 @@ def _ordered(emitted: DataFrame, length: int) -> DataFrame:
     return _by_bucket(emitted, solve, _NOTE)
 
 
-def _after_first(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key a smaller id has too. Only keys of several ids are written and joined, so a hot key can be split."""
-    first = rows.groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    return rows.join(staged(first.select(*keys, "first"), "first"), keys).where("first < id")
+def _after_first(rows: DataFrame, keys: list[str], most: str = "id") -> DataFrame:
+    """Rows (ids from id to most) with an id that is not their key's least. Only keys of several ids are written and joined, so a hot key can be split."""
+    first = rows.groupBy(*keys).agg(F.min("id").alias("first"), F.max(most).alias("last")).where("first < last")
+    return rows.join(staged(first.select(*keys, "first"), "first"), keys).where(f"first < {most}")
 
 
 def _crowded(slices: DataFrame, notes: DataFrame, length: int, piece: int, buckets: int) -> DataFrame:
@@ -512,7 +525,7 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     total = slices.agg(F.sum("size")).first()[0] or 0
     buckets = max(_tasks(docs), -(-total // bucket_bytes))
     phrases = staged(_phrases(slices, length, modulus), "phrases")
-    late = staged(_after_first(phrases, ["d1", "d2"]).select("gid", "sid", F.lit(_LATE).alias("part"), "at", "upto", F.lit(None).cast("binary").alias("data")), "late")
+    late = staged(_after_first(phrases, ["d1", "d2"], "most").select("gid", "sid", F.lit(_LATE).alias("part"), F.col("first").alias("at"), F.lit(0).cast("long").alias("upto"), "data"), "late")
     shared = staged(_shared(_anchors(slices, late, length, piece, buckets), crowd), "shared")
     spans = _ordered(_emitted(slices, late.unionByName(shared), length, piece, buckets), length)
     if not shared.where("at = 2").isEmpty():

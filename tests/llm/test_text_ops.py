@@ -251,3 +251,13 @@ def test_repeated_ids_with_unlike_texts_and_null_ids(spark):
     docs = [(1, prose(32, 90)), (1, base), (5, near), (None, prose(33, 80)), (None, prose(33, 80) + " tail"), (9, prose(34, 70))]
     got = sorted(((r.doc_id, r.n_links, r.component_id) for r in ngram_join.jaccard_components(frame(spark, docs)).collect()), key=repr)
     assert got == sorted([(1, 0, 1), (1, 1, 1), (5, 1, 1), (None, 1, None), (None, 1, None), (9, 0, 9)], key=repr)
+
+
+def test_copies_in_a_slice_give_one_row_a_phrase(spark):
+    text = prose(77, 400)
+    docs = [(i, text) for i in range(200)]
+    slices = suffix_dedup._sliced(frame(spark, docs).select(F.col("doc_id").alias("id"), "text").coalesce(1))
+    phrases = suffix_dedup._phrases(slices, 50, 64)
+    assert phrases.count() == phrases.select("d1", "d2").distinct().count() > 1
+    found = suffix_dedup.drop_repeats(frame(spark, docs), modulus=64).collect()
+    assert sorted(tuple(r) for r in found) == repeats([(i, text.encode()) for i, text in docs])
