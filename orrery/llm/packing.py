@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import staged
-from .tokens import token_ids
+from .tokens import forget, token_ids
 
 
 class RoomTree:
@@ -96,19 +96,23 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, ends in token_ids(tokenizer, style).of_batches(batches):
-            n = part.num_rows
-            data = memoryview(np.insert(ids, ends, end_id).astype("<u4").tobytes())
-            size = np.diff(ends, prepend=0) + 1
-            many = -(-size // capacity)
-            row = np.repeat(np.arange(n), many)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            head = np.where(size % capacity, size % capacity, capacity)[row]
-            start = np.where(piece, head + (piece - 1) * capacity, 0)
-            length = np.where(piece, capacity, head)
-            at = 4 * (start + np.repeat(np.cumsum(size) - size, many))
-            crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        # the worker outlives the task, often idle beside later stages: the memo goes with the task
+        try:
+            for part, ids, ends in token_ids(tokenizer, style).of_batches(batches):
+                n = part.num_rows
+                data = memoryview(np.insert(ids, ends, end_id).astype("<u4").tobytes())
+                size = np.diff(ends, prepend=0) + 1
+                many = -(-size // capacity)
+                row = np.repeat(np.arange(n), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                head = np.where(size % capacity, size % capacity, capacity)[row]
+                start = np.where(piece, head + (piece - 1) * capacity, 0)
+                length = np.where(piece, capacity, head)
+                at = 4 * (start + np.repeat(np.cumsum(size) - size, many))
+                crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:
+            forget()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

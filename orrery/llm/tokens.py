@@ -7,7 +7,8 @@ Arrow, so each distinct one is looked up once a batch; numpy puts their ids toge
 
 A chunk of letters that normalising leaves letters is one piece for the model and so skips the pipeline in
 front of it; a run of ASCII signs behind such letters is a piece of its own. All other chunks go through
-the whole tokenizer. Each worker keeps the ids of chunks until they hold `MEMO_BYTES`; forget() frees them.
+the whole tokenizer. Each worker keeps the ids of chunks until they hold `MEMO_BYTES`; forget() frees them,
+which a step should call that may leave its workers idle beside other work.
 Ids never depend on which texts a worker saw before.
 """
 
@@ -203,6 +204,7 @@ def token_ids(path: str, style: str) -> TokenIds:
 
 
 def forget() -> None:
-    """Frees what this worker's encoders keep."""
+    """Frees what this worker's encoders keep, and gives it back to the system."""
     for x in _kept.values():
         x.clear()
+    pa.default_memory_pool().release_unused()

@@ -5,6 +5,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import awkward, frame, prose
 from orrery.llm import packing, queries, token_store, tokens, topk
@@ -199,3 +200,18 @@ def test_top_k_of_twins_and_of_large_components(spark, case, blocks):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk.top_k(df, df.where("vec_id % 100 = 0"), block_rows=blocks, query_rows=2)
     assert sorted(tuple(r) for r in got.collect()) == _top_of_rows(rows)
+
+
+def test_packing_leaves_no_memo_in_idle_workers(spark):
+    docs = spark.createDataFrame([(i, prose(i, 200)) for i in range(20)], "doc_id long, text string").coalesce(1)
+    assert packing.pieces(docs, BYTE).count() >= 20
+
+    def left(batches):
+        from orrery.llm import tokens
+
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([len(tokens._kept)] * n), pa.array([sum(len(x.memo) for x in tokens._kept.values())] * n)], ["kept", "memo"])
+
+    rows = spark.range(1).coalesce(1).mapInArrow(left, "kept long, memo long").collect()
+    assert [(r.kept > 0, r.memo) for r in rows] == [(True, 0)]
